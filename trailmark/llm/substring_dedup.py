@@ -38,7 +38,7 @@ WINDOW = 13
 SKETCH_ROWS, CELLS_PER_WINDOW = 2, 16
 BYTES_PER_WORD = 6
 #: Bytes of text in a chunk, windows' cells in a range, and candidates in a bucket, about.
-CHUNK_BYTES, RANGE_CELLS = 8 << 20, 1 << 20
+CHUNK_BYTES, RANGE_CELLS = 4 << 20, 1 << 20
 MOST_BUCKETS = 20_000
 #: Stands for a missing id: after all others.
 LAST = np.iinfo(np.int64).max
@@ -56,30 +56,42 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64), dtype=np.uint64)
 
 
+def by_key(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by (a, b, ids). Few values of a repeat, so only those are sorted by the rest."""
+    order = np.argsort(a)
+    sorted_a = a[order]
+    same = sorted_a[1:] == sorted_a[:-1]
+    tied = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(order) else np.zeros(0, bool)
+    part = order[tied]
+    order[tied] = part[np.lexsort((ids[part], b[part], a[part]))]
+    return order
+
+
 class Chunk:
     """The windows of some documents: ids[i] is the document of window i, keys its 128 bits in two parts."""
 
     def __init__(self, pdf: pd.DataFrame, window: int):
         pdf = pdf.sort_values("id", kind="stable", na_position="last")
-        self.words = [split_words(t) for t in pdf["words"]]
-        self.doc_ids = np.array([LAST if pd.isna(i) else int(i) for i in pdf["id"]], np.int64)
+        self.texts = pdf["words"].tolist()
         self.raw_ids = [None if pd.isna(i) else int(i) for i in pdf["id"]]
-        self.counts = np.array([max(0, len(w) - window + 1) for w in self.words], np.int64)
-        parts: tuple[list, list] = ([], [])
-        for words in self.words:
-            if len(words) >= window:
-                hashes = word_hashes(words)
-                for out, m, turned in zip(parts, MULTIPLIERS, (hashes, mix(hashes)), strict=True):
-                    out.append(run_hashes(turned, window, m))
-        self.keys = tuple(np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts)
+        self.doc_ids = np.array([LAST if i is None else i for i in self.raw_ids], np.int64)
+        hashed = [word_hashes(split_words(t)) for t in self.texts]
+        sizes = np.array([len(h) for h in hashed], np.int64)
+        self.counts = np.maximum(0, sizes - window + 1)
+        hashes = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        # windows that begin in the last words of a document would reach into the next one
+        first = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(self.counts) - self.counts), self.counts)
+        at = first + np.arange(len(first))
+        self.keys = tuple(run_hashes(h, window, m)[at] if len(at) else np.zeros(0, np.uint64) for h, m in zip((hashes, mix(hashes)), MULTIPLIERS, strict=True))
         self.ids = np.repeat(self.doc_ids, self.counts)
+        self.order = by_key(*self.keys, self.ids)
+        a, b = (k[self.order] for k in self.keys)
+        self.new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        self.begin = np.flatnonzero(self.new)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the windows by key, then document; and where a key's windows begin in it."""
-        a, b = self.keys
-        order = np.lexsort((self.ids, b, a))
-        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        return order, np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
+    def firsts(self) -> np.ndarray:
+        """A window of each key, in the key's least document."""
+        return self.order[self.begin]
 
 
 def cells(keys: tuple[np.ndarray, np.ndarray], row: int, bits: int) -> np.ndarray:
@@ -89,11 +101,11 @@ def cells(keys: tuple[np.ndarray, np.ndarray], row: int, bits: int) -> np.ndarra
 
 def sketch(chunk: Chunk, bits: int, range_bits: int) -> Iterable[tuple[int, bytes]]:
     """(range, cells) of the chunk's sketch: a cell for each window and document of it that holds it."""
-    order, _ = chunk.distinct()
-    a, b, ids = chunk.keys[0][order], chunk.keys[1][order], chunk.ids[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (ids[1:] != ids[:-1])]) if len(order) else np.zeros(0, bool)
+    ids = chunk.ids[chunk.order]
+    new = chunk.order[chunk.new | np.concatenate([[True], ids[1:] != ids[:-1]])] if len(ids) else chunk.order
+    a, b = (k[new] for k in chunk.keys)
     for row in range(SKETCH_ROWS):
-        at = np.sort(cells((a[new], b[new]), row, bits))
+        at = np.sort(cells((a, b), row, bits))
         ranges = at >> np.uint64(bits - range_bits)
         edges = np.flatnonzero(np.diff(ranges)) + 1
         for part in np.split(at, edges) if len(at) else []:
@@ -109,15 +121,14 @@ def repeated_cells(parts: list[bytes]) -> list[bytes | None]:
     out: list[bytes | None] = []
     for x in lists:
         x = np.unique(x)
-        x = x[np.isin(x, found, assume_unique=True, kind="sort")]
+        x = x[found[np.minimum(np.searchsorted(found, x), len(found) - 1)] == x] if len(found) else x[:0]
         out.append(pack(x) if len(x) else None)
     return out
 
 
 def candidates(chunk: Chunk, hot: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, part, least document) of each window of the chunk whose cells are all in hot."""
-    order, begin = chunk.distinct()
-    at = order[begin]
+    at = chunk.firsts()
     for row, have in enumerate(hot):
         if not len(have):
             at = at[:0]
@@ -132,7 +143,7 @@ def group_exactly(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> lis
     """Of each chunk's windows, those that an earlier document of another chunk has, with the earliest."""
     a, b, d = (np.concatenate(x) for x in zip(*parts, strict=True))
     owner = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
-    order = np.lexsort((d, b, a))
+    order = by_key(a, b, d)
     a, b, d, owner = a[order], b[order], d[order], owner[order]
     first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
@@ -145,17 +156,19 @@ def group_exactly(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> lis
 
 def earliest(chunk: Chunk, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The least document that holds each window of the chunk, by the chunk itself and by what was found."""
-    order, begin = chunk.distinct()
-    least = chunk.ids[order[begin]].copy()
-    a, b = chunk.keys[0][order[begin]], chunk.keys[1][order[begin]]
-    if len(found[0]) and len(a):
-        both = np.lexsort((found[1], found[0]))
-        fa, fb, fd = (x[both] for x in found)
-        merged = np.lexsort((np.concatenate([np.ones(len(a)), np.zeros(len(fa))]), np.concatenate([b, fb]), np.concatenate([a, fa])))
-        ma, mb = np.concatenate([a, fa])[merged], np.concatenate([b, fb])[merged]
-        pair = np.flatnonzero((ma[1:] == ma[:-1]) & (mb[1:] == mb[:-1]))
-        own, other = merged[pair + 1], merged[pair] - len(a)
-        least[own] = np.minimum(least[own], fd[other])
+    at = chunk.firsts()
+    least, a, b = chunk.ids[at], chunk.keys[0][at], chunk.keys[1][at]
+    fa, fb, fd = found
+    place = np.searchsorted(a, fa)
+    while len(fa):
+        inside = place < len(a)
+        fa, fb, fd, place = (x[inside] for x in (fa, fb, fd, place))
+        inside = a[place] == fa
+        fa, fb, fd, place = (x[inside] for x in (fa, fb, fd, place))
+        same = b[place] == fb
+        np.minimum.at(least, place[same], fd[same])
+        fa, fb, fd, place = fa[~same], fb[~same], fd[~same], place[~same] + 1
+    order, begin = chunk.order, chunk.begin
     out = np.empty(len(order), np.int64)
     out[order] = np.repeat(least, np.diff(np.append(begin, len(order))))
     return out
@@ -165,7 +178,8 @@ def kept_words(chunk: Chunk, least: np.ndarray, window: int) -> list[tuple]:
     """(id, words, words removed, what is left) of each document."""
     ends = np.cumsum(chunk.counts)
     rows = []
-    for i, words in enumerate(chunk.words):
+    for i, text in enumerate(chunk.texts):
+        words = split_words(text)
         at = slice(ends[i] - chunk.counts[i], ends[i])
         hit = np.flatnonzero(least[at] < chunk.doc_ids[i])
         left = words

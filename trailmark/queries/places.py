@@ -205,12 +205,12 @@ nb AS (SELECT id, h, n, last_value(n IGNORE NULLS) OVER b AS n0, last_value(e IG
  FROM kn WINDOW b AS (PARTITION BY id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY id ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query("t01_person_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, TIMESTAMP '2024-01-01' + to_minutes(h) AS minute, n0 + dn AS n, e0 + de AS e FROM nb, range(-20, 21) a(dn), range(-20, 21) b(de) WHERE (h1 - h0 < 15 OR nb.n IS NOT NULL) AND (dn * dn + de * de) * 2500 <= power((h - h0) * 120, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 2500 <= power((h1 - h) * 120, 2)")
+@query("t01_person_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, TIMESTAMP '2024-01-01' + to_minutes(h) AS minute, n0 + dn AS n, e0 + de AS e FROM nb, range(-40, 41) a(dn), range(-40, 41) b(de) WHERE (h1 - h0 < 15 OR nb.n IS NOT NULL) AND (dn * dn + de * de) * 2500 <= power((h - h0) * 120, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 2500 <= power((h1 - h) * 120, 2)")
 def t01(spark, sf):
     return transit.prism_minutes(known_minutes(spark, sf), "id", "minute", 50.0)
 
 
-@query("t03_unbounded_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, count(*) AS cells FROM nb, range(-60, 61) a(dn), range(-60, 61) b(de) WHERE id < 10 AND (dn * dn + de * de) * 2500 <= power((h - h0) * 60, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 2500 <= power((h1 - h) * 60, 2) GROUP BY id")
+@query("t03_unbounded_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, count(*) AS cells FROM nb, range(-120, 121) a(dn), range(-120, 121) b(de) WHERE id < 10 AND (dn * dn + de * de) * 2500 <= power((h - h0) * 60, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 2500 <= power((h1 - h) * 60, 2) GROUP BY id")
 def t03(spark, sf):
     k = known_minutes(spark, sf).where("id < 10")
     return transit.prism_minutes(k, "id", "minute", 50.0, speed=1.0, gap_minutes=None).groupBy("id").agg(F.count("*").alias("cells"))

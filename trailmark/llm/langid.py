@@ -13,6 +13,7 @@ labelled text every text is ``und``.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -57,7 +58,8 @@ LABEL = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("lang", T.StringType())]))),
 ])
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Letters; the combining marks of several scripts may follow the first.
+WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])*")
 
 
 def script_of(letter: str) -> str:
@@ -132,15 +134,6 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", k
     return {"langs": langs, "grams": table, "unseen": unseen, "allowed": allowed}
 
 
-def word_scores(word: str, model: dict) -> list[float]:
-    """Log likelihood of a lower-case word in each language; those of other scripts are far below."""
-    table, unseen = model["grams"], model["unseen"]
-    columns = [table.get(g, unseen) for g in grams(word)]
-    out = [sum(c) for c in zip(*columns, strict=True)]
-    fits = model["allowed"].get(script_of(word[0]))
-    return [s if k in fits else s - 1000.0 for k, s in enumerate(out)] if fits else out
-
-
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word; scores has the words of all texts in order, lengths the words of each
     text. All texts advance together, the long ones alone at the end."""
@@ -174,47 +167,102 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return out
 
 
+def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the trigrams of the words in order, and where each word's begin."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(len(words)), sizes)
+    return (points[at] << np.uint64(42)) | (points[at + 1] << np.uint64(21)) | points[at + 2], begin
+
+
 class ScoredWords:
-    """Scores of words seen before; forgets all of them once it holds CACHED_WORDS."""
+    """Log likelihoods of lower-case words in each language, those of other scripts far below the rest. Keeps
+    the words seen before, and forgets all of them once it holds CACHED_WORDS."""
 
     def __init__(self, model: dict):
-        self.model, self.number = model, {}
+        self.model, self.number, self.script = model, {}, {}
         self.scores = np.zeros((0, len(model["langs"])))
+        names = sorted(model["grams"])
+        keys = np.array([(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in names], np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.rows = np.array([model["grams"][names[k]] for k in order] + [model["unseen"]], float).reshape(len(names) + 1, -1)
+
+    def penalty(self, letter: str) -> np.ndarray:
+        """What the languages that do not use the letter's script lose."""
+        if letter not in self.script:
+            fits = self.model["allowed"].get(script_of(letter))
+            self.script[letter] = np.array([0.0 if not fits or k in fits else -1000.0 for k in range(self.scores.shape[1])])
+        return self.script[letter]
+
+    def fresh(self, words: list[str]) -> np.ndarray:
+        keys, begin = gram_keys(words)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        place[self.keys[place] != keys if len(self.keys) else slice(None)] = len(self.keys)
+        return np.add.reduceat(self.rows[place], begin) + np.array([self.penalty(w[0]) for w in words])
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.number) > CACHED_WORDS:
-            self.__init__(self.model)
-        new, ids = [], []
-        for w in words:
-            k = self.number.get(w)
-            if k is None:
-                k = self.number[w] = len(self.number)
-                new.append(word_scores(w, self.model))
-            ids.append(k)
-        if new:
-            self.scores = np.concatenate([self.scores, np.array(new)])
+            self.number, self.scores = {}, self.scores[:0]
+        number, have = self.number, len(self.number)
+        ids = [number.setdefault(w, len(number)) for w in words]
+        if len(number) > have:
+            self.scores = np.concatenate([self.scores, self.fresh(list(number)[have:])])
         return self.scores[ids]
 
 
+def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """viterbi(), which only sees texts that may change language: in the others no stretch of words gains
+    more than one switch costs over the language that is best for the whole text."""
+    if scores.shape[1] < 2 or not len(scores):
+        return np.zeros(len(scores), np.int8)
+    begin = np.cumsum(lengths) - lengths
+    full = lengths > 0
+    main = np.zeros(len(lengths), np.int64)
+    main[full] = np.add.reduceat(scores, begin[full]).argmax(1)
+    own = np.repeat(main, lengths)
+    others = scores.copy()
+    others[np.arange(len(own)), own] = -np.inf
+    gain = others.max(1) - scores[np.arange(len(own)), own]
+    out = own.astype(np.int8)
+    mixed = []
+    for k, (a, n) in enumerate(zip(begin.tolist(), lengths.tolist(), strict=True)):
+        if n:
+            total = np.concatenate([[0.0], np.cumsum(gain[a : a + n])])
+            if (total - np.minimum.accumulate(total)).max() > switch:
+                mixed.append(k)
+    if mixed:
+        at = np.concatenate([np.arange(begin[k], begin[k] + lengths[k]) for k in mixed])
+        out[at] = viterbi(scores[at], lengths[mixed], switch)
+    return out
+
+
 def label_texts(texts: list[str | None], scored: ScoredWords, switch: float = SWITCH) -> list[tuple]:
     """A row of LABEL for each text."""
     langs = scored.model["langs"]
-    found = [[m.span() for m in WORD.finditer(t)] if isinstance(t, str) and langs else [] for t in texts]
-    words = [t[a:b].lower() for t, spans in zip(texts, found, strict=True) for a, b in spans]
+    found = [WORD.findall(t) if isinstance(t, str) and langs else [] for t in texts]
+    words = [w for ws in found for w in ws]
     if not words:
         return [("und", 0.0, [])] * len(texts)
-    best = viterbi(scored.of(words), np.array([len(x) for x in found]), switch)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    best = best_labels(scored.of(" ".join(words).lower().split(" ")), np.array([len(x) for x in found]), switch)
     out, at = [], 0
-    for spans in found:
-        if not spans:
+    for text, own in zip(texts, found, strict=True):
+        if not own:
             out.append(("und", 0.0, []))
             continue
-        labels = best[at : at + len(spans)]
-        at += len(spans)
-        letters = np.bincount(labels, weights=[b - a for a, b in spans], minlength=len(langs))
+        labels, size = best[at : at + len(own)], sizes[at : at + len(own)]
+        at += len(own)
+        letters = np.bincount(labels, weights=size, minlength=len(langs))
         top = int(letters.argmax())
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]]).tolist()
-        runs = [{"start": spans[x][0], "stop": spans[y - 1][1], "lang": langs[labels[x]]} for x, y in zip(edges, edges[1:], strict=False)]
+        edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+        if len(edges) == 2:
+            first, last = text.find(own[0]), text.rfind(own[-1]) + len(own[-1])
+            runs = [{"start": first, "stop": last, "lang": langs[labels[0]]}]
+        else:
+            spans = [m.span() for m in WORD.finditer(text)]
+            runs = [{"start": spans[x][0], "stop": spans[y - 1][1], "lang": langs[labels[x]]} for x, y in zip(edges, edges[1:], strict=False)]
         out.append((langs[top], float(letters[top] / letters.sum()), runs))
     return out
 

@@ -9,13 +9,18 @@ from trailmark.operators import activity, intervals, series, spatial
 from trailmark.queries.base import BY, GAP, MERGE, PTS, VISIT, points, query, table
 from trailmark.queries.scalars import LEVEL_SQL
 
-DAY = F.date_trunc("day", "ts").cast("timestamp_ntz")
-COUNTS = F.col("value") * 20
-WORN = F.col("event_type") != "error"
+
+
+def day():
+    return F.date_trunc("day", "ts").cast("timestamp_ntz")
+
+
+def is_worn():
+    return F.col("event_type") != "error"
 
 
 def counted(spark, sf):
-    return points(spark, sf).withColumn("counts", COUNTS)
+    return points(spark, sf).withColumn("counts", F.col("value") * 20)
 
 
 # --- aggregation and resampling
@@ -23,7 +28,7 @@ def counted(spark, sf):
 
 @query("a01_resample", f"WITH {PTS} SELECT id, date_trunc('day', ts) AS epoch, median(k) AS k, CAST(sum(zone) AS BIGINT) AS zone, arg_min(event_type, (ts, event_id)) AS event_type FROM pts GROUP BY id, epoch")
 def a01(spark, sf):
-    return series.resample(points(spark, sf), "id", DAY, median=["k"], total=["zone"], first=["event_type"], order=["ts", "event_id"])
+    return series.resample(points(spark, sf), "id", day(), median=["k"], total=["zone"], first=["event_type"], order=["ts", "event_id"])
 
 
 @query("a02_second_median", f"WITH {PTS} SELECT id, date_trunc('second', ts) AS epoch, median(k) AS k, median(value) AS value FROM pts GROUP BY ALL")
@@ -48,17 +53,17 @@ BOUTS_SQL = f"""bouts AS (SELECT id, date_trunc('day', ts) AS epoch, {', '.join(
 
 @query("a06_activity_bouts", f"WITH {PTS}, {BOUTS_SQL} SELECT *, 1440 - sedentary - light - moderate - vigorous AS non_wear FROM bouts")
 def a06(spark, sf):
-    return activity.bouts(counted(spark, sf), "id", DAY, "counts", WORN, 1440)
+    return activity.bouts(counted(spark, sf), "id", day(), "counts", is_worn(), 1440)
 
 
 @query("a07_dominant_level", f"WITH {PTS}, {BOUTS_SQL}, b AS (SELECT *, 2 - sedentary - light - moderate - vigorous AS non_wear, greatest(2 - sedentary - light - moderate - vigorous, sedentary, light, moderate, vigorous) AS top FROM bouts) SELECT id, epoch, CASE WHEN non_wear = top THEN 'non_wear' WHEN sedentary = top THEN 'sedentary' WHEN light = top THEN 'light' WHEN moderate = top THEN 'moderate' ELSE 'vigorous' END AS dominant FROM b")
 def a07(spark, sf):
-    return activity.dominant(activity.bouts(counted(spark, sf), "id", DAY, "counts", WORN, 2)).select("id", "epoch", "dominant")
+    return activity.dominant(activity.bouts(counted(spark, sf), "id", day(), "counts", is_worn(), 2)).select("id", "epoch", "dominant")
 
 
 @query("a08_daily_report", f"WITH {PTS} SELECT id, date_trunc('day', ts) AS day, {', '.join(f'count(*) FILTER (WHERE {LEVEL_SQL} = {n!r}) AS {n}' for n in ('sedentary', 'light', 'moderate', 'vigorous'))}, count(*) AS total, 22 AS recommended FROM pts GROUP BY id, day HAVING count(*) >= 4")
 def a08(spark, sf):
-    return activity.daily_report(counted(spark, sf), "id", DAY, "counts", least_rows=4)
+    return activity.daily_report(counted(spark, sf), "id", day(), "counts", least_rows=4)
 
 
 @query("a09_zone_scores", f"WITH {PTS} SELECT event_id, round(CASE WHEN stddev_samp(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_samp(value) OVER w END, 6) AS z FROM pts WINDOW w AS (PARTITION BY id, zone)")
@@ -108,7 +113,7 @@ def a15(spark, sf):
 
 @query("a16_valid_participants", f"WITH {PTS}, d AS (SELECT id, date_trunc('day', ts) AS d FROM pts GROUP BY ALL HAVING count(*) > 2), g AS (SELECT id FROM d GROUP BY id HAVING count(*) > 13) SELECT event_id FROM pts WHERE id IN (SELECT id FROM g)")
 def a16(spark, sf):
-    return activity.valid_participants(points(spark, sf), "id", DAY, 2, 13).select("event_id")
+    return activity.valid_participants(points(spark, sf), "id", day(), 2, 13).select("event_id")
 
 
 @query("a17_valid_days", f"""WITH {PTS}, r AS (SELECT *, CAST(round_even(epoch_us(ts) / 86400000000.0, 0) AS BIGINT) AS d, date_trunc('minute', ts) AS m FROM pts), d AS (SELECT id, d FROM r GROUP BY ALL HAVING count(DISTINCT m) > 2),
@@ -418,8 +423,8 @@ def j02(spark, sf):
 
 @query("j03_bouts_to_epochs", f"WITH {PTS}, b AS (SELECT id, date_trunc('day', ts) AS d, count(*) FILTER (WHERE event_type <> 'error') AS worn FROM pts GROUP BY ALL) SELECT event_id, worn FROM pts p LEFT JOIN b ON p.id = b.id AND date_trunc('day', p.ts) = b.d AND b.worn > 1")
 def j03(spark, sf):
-    p = points(spark, sf).withColumn("d", DAY)
-    b = p.groupBy("id", "d").agg(F.count(F.when(WORN, 1)).alias("worn")).where("worn > 1")
+    p = points(spark, sf).withColumn("d", day())
+    b = p.groupBy("id", "d").agg(F.count(F.when(is_worn(), 1)).alias("worn")).where("worn > 1")
     return p.join(b, ["id", "d"], "left").select("event_id", "worn")
 
 

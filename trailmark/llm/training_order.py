@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.scratch import Scratch
-from trailmark.llm.words import mix
+from trailmark.llm.words import mix, slices
 
 #: Splits a text into the pieces that byte-pair merges stay within; belongs to the vocabulary file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,6 +37,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END_OF_TEXT = 50256
 HEADER, HEADER_BYTES = "<qiH", 14
 ROUNDS = 6
+#: Characters or bytes of a batch that are in work at a time.
+BLOCK_CHARS = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -92,8 +94,10 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> D
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary).encode_ordinary
         for pdf in batches:
-            rows = [(-1 if pd.isna(i) else int(i), np.array([*encode(t), END_OF_TEXT], "<u2").tobytes()) for i, t in zip(pdf["id"], pdf["words"], strict=True) if t]
-            yield pd.DataFrame(rows, columns=["id", "tokens"])
+            for a, b in slices([len(t) if t else 0 for t in pdf["words"]], BLOCK_CHARS):
+                part = pdf.iloc[a:b]
+                rows = [(-1 if pd.isna(i) else int(i), np.array([*encode(t), END_OF_TEXT], "<u2").tobytes()) for i, t in zip(part["id"], part["words"], strict=True) if t]
+                yield pd.DataFrame(rows, columns=["id", "tokens"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("words"))
     return rows.mapInPandas(tokens, "id long, tokens binary")
@@ -119,14 +123,15 @@ def write_training_order(docs: DataFrame, path: str, id_col: str = "doc_id", tex
             part = TaskContext.get().partitionId()
             number = first.get(part, 0)
             for pdf in batches:
-                rows, owners = [], []
-                for i, data in zip(pdf["id"], pdf["tokens"], strict=True):
-                    for k, at in enumerate(range(0, len(data), size)):
-                        piece = data[at : at + size]
-                        rows.append(struct.pack(HEADER, i, k, len(piece) // 2) + piece.ljust(size, b"\0"))
-                slots = permute(np.arange(number, number + len(rows)), total, layout.key)
-                number += len(rows)
-                yield pd.DataFrame({"shard": slots // layout.per_shard, "slot": slots, "record": rows})
+                for a, b in slices(pdf["tokens"].map(len).tolist(), BLOCK_CHARS):
+                    rows = []
+                    for i, data in zip(pdf["id"].iloc[a:b], pdf["tokens"].iloc[a:b], strict=True):
+                        for k, at in enumerate(range(0, len(data), size)):
+                            piece = data[at : at + size]
+                            rows.append(struct.pack(HEADER, i, k, len(piece) // 2) + piece.ljust(size, b"\0"))
+                    slots = permute(np.arange(number, number + len(rows)), total, layout.key)
+                    number += len(rows)
+                    yield pd.DataFrame({"shard": slots // layout.per_shard, "slot": slots, "record": rows})
             if number != first.get(part, 0) + counts.get(part, 0):
                 raise RuntimeError(f"partition {part} has other rows than when it was counted")
 

@@ -33,9 +33,10 @@ from trailmark.llm.scratch import Scratch
 
 #: Labelled documents that the classifier is fitted on, at most; words of its lexicon, at most.
 FIT_ROWS, LEXICON_WORDS = 20_000, 64
-#: A lexicon word stands in so many labelled documents, and so many times as often in the marked ones.
-LEAST_SUPPORT, LEAST_LIFT = 8, 4.0
-#: Words that a language has anyway are in more than this share of the documents.
+#: A lexicon word stands in so many labelled documents, in this share of the marked ones (more than copies of
+#: one of them make up), and so many times as often in those.
+LEAST_SUPPORT, LEAST_SHARE, LEAST_LIFT = 8, 0.03, 4.0
+#: Words that a language has anyway are in more than this share of the unmarked documents.
 COMMON_SHARE = 0.05
 SYMBOLS = "#*$%&|<>!"
 
@@ -69,12 +70,12 @@ def features(text: Column, words: Column, lexicon: Sequence[str]) -> dict[str, C
     """Binned features of a text."""
     size = F.greatest(F.length(text), F.lit(1))
     count = F.greatest(F.size(words), F.lit(1))
-    share = lambda chars: (size - F.length(F.translate(text, chars, ""))) / size
+    share = lambda chars: (size - F.length(F.regexp_replace(text, f"[{chars}]+", ""))) / size
     marked = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in lexicon]))) if lexicon else F.lit(0)
     return {
         "f_marked": bins(marked, [1, 2, 3]),
         "f_symbols": bins(share(SYMBOLS), [0.005, 0.02, 0.06, 0.15]),
-        "f_upper": bins(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), [0.05, 0.2, 0.5]),
+        "f_upper": bins(share("A-Z"), [0.05, 0.2, 0.5]),
         "f_distinct": bins(F.size(F.array_distinct(words)) / count, [0.1, 0.25, 0.4, 0.55, 0.7]),
         "f_length": bins(F.size(words), [10, 30, 100, 300, 1000]),
     }
@@ -88,7 +89,7 @@ def learn_lexicon(words: DataFrame) -> list[str]:
         return []
     each = words.select("marked", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("docs"), F.sum(F.col("marked").cast("long")).alias("hits"))
     lift = ((F.col("hits") + 0.5) / (m + 1)) / ((F.col("docs") - F.col("hits") + 0.5) / (n - m + 1))
-    good = each.where((F.col("docs") >= LEAST_SUPPORT) & (F.col("docs") < COMMON_SHARE * n)).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
+    good = each.where((F.col("docs") >= LEAST_SUPPORT) & (F.col("hits") >= LEAST_SHARE * m) & (F.col("docs") - F.col("hits") <= COMMON_SHARE * (n - m))).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
     return [r["word"] for r in good.orderBy(F.desc(F.col("hits") * F.log("lift")), "word").limit(LEXICON_WORDS).collect()]
 
 

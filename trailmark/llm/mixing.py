@@ -35,7 +35,7 @@ from trailmark.llm.scratch import Scratch
 FIT_ROWS, LEXICON_WORDS = 20_000, 64
 #: A lexicon word stands in so many labelled documents, in this share of the marked ones (more than copies of
 #: one of them make up), and so many times as often in those.
-LEAST_SUPPORT, LEAST_SHARE, LEAST_LIFT = 8, 0.03, 4.0
+LEAST_SUPPORT, LEAST_SHARE, LEAST_LIFT = 8, 0.03, 10.0
 #: Words that a language has anyway are in more than this share of the unmarked documents.
 COMMON_SHARE = 0.05
 SYMBOLS = "#*$%&|<>!"
@@ -48,6 +48,8 @@ class Targets:
     anchor: str = "good"
     max_rate: float = 4.0
     passes: int = 10
+    #: A rate that is this near to 1 is one copy, so documents are not lost or repeated for a nearly even rate.
+    steady: float = 0.05
     #: Relative miss of all targets at which the passes end.
     tolerance: float = 1e-4
 
@@ -184,14 +186,16 @@ def fit_rates(table: DataFrame, classes: Sequence[str], targets: Targets) -> tup
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, tokens, p_<class>..., rate, copies) of each row of docs. copies: the rate rounded up or down
-    by a hash of the id, so that it is the rate on average. Runs at once; the result is a written table."""
+    by a hash of the id, so that it is the rate on average but for rates near 1. Runs at once; the result is a written table."""
     targets = targets or Targets()
     classes = sorted(targets.weights)
     scratch = Scratch(docs.sparkSession, "mixing")
     table = posteriors(docs, labels, classes, scratch, id_col, text_col)
     rate, _ = fit_rates(table, classes, targets)
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col("row_id")), F.lit(1 << 30)) / float(1 << 30)
-    rated = table.withColumn("rate", F.round(rate, 6)).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    steady = F.abs(F.col("rate") - 1) <= targets.steady
+    copies = F.when(steady, F.lit(1)).otherwise(F.floor(F.col("rate") + chance)).cast("long")
+    rated = table.withColumn("rate", F.round(rate, 6)).withColumn("copies", copies)
     out = Scratch(docs.sparkSession, "mixing_result").keep(rated, "rows")
     scratch.drop()
     return out

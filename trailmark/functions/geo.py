@@ -76,6 +76,7 @@ def conic_constants(lat1: float, lat2: float, lat0: float) -> tuple[float, float
     return n, f, RADIUS * f * t(p0) ** n
 
 
+# Fixed values, the defaults below: parameters of the national Lambert conformal conic projection.
 def conic_inverse(x: Column, y: Column, lat1: float = 49.0, lat2: float = 77.0, lat0: float = 63.390675, lon0: float = -91.86666666666666, x0: float = 6_200_000.0, y0: float = 3_000_000.0) -> tuple[Column, Column]:
     """(lat, lon) in degrees of Lambert conformal conic metres; five fixed-point steps for the latitude."""
     e = math.sqrt(FLATTENING * (2 - FLATTENING))

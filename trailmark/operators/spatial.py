@@ -52,16 +52,21 @@ def in_ellipse(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Col
 def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, bucket: float, rings: int = 1) -> DataFrame:
     """Each point with its nearest node (least id on a tie) by buckets of the plane. A point whose nearest
     node in reach may not be the nearest of all is searched again with twice the buckets."""
-    found, left, size = None, points, bucket
-    for _ in range(rings):
+    from trailmark.sources.folders import Kept
+
+    kept, found, size = Kept(points.sparkSession, "nearest"), None, bucket
+    left = points
+    for k in range(rings):
         b = lambda c, s=size: F.floor(F.col(c) / s)
         near = left.withColumn("__bx", F.explode(F.sequence(b("x") - 1, b("x") + 1))).withColumn("__by", F.explode(F.sequence(b("y") - 1, b("y") + 1)))
         other = nodes.select(F.col(node_id), F.col("x").alias("node_x"), F.col("y").alias("node_y"), F.floor(F.col("x") / size).alias("__bx"), F.floor(F.col("y") / size).alias("__by"))
         d = F.sqrt(F.pow(F.col("x") - F.col("node_x"), 2) + F.pow(F.col("y") - F.col("node_y"), 2))
         best = near.join(other, ["__bx", "__by"]).withColumn("distance", d).groupBy(point_id).agg(F.min_by(F.struct(node_id, "node_x", "node_y", "distance"), F.struct("distance", node_id)).alias("best"))
-        sure = best.where(F.col("best.distance") <= size).select(point_id, f"best.{node_id}", "best.node_x", "best.node_y", "best.distance")
+        sure = kept.write(best.where(F.col("best.distance") <= size).select(point_id, f"best.{node_id}", "best.node_x", "best.node_y", "best.distance"), f"ring{k}")
         found = sure if found is None else found.unionByName(sure)
-        left, size = left.join(sure, point_id, "left_anti"), size * 2
+        left, size = kept.write(left.join(sure, point_id, "left_anti"), f"left{k}"), size * 2
+        if left.isEmpty():
+            break
     return found
 
 

@@ -25,12 +25,12 @@ def j09(spark, sf):
     return spatial.lattice(spark.range(1), 0.0, 99.0, 0.0, 99.0, 1.0).where(spatial.in_polygon(F.col("easting"), F.col("northing"), SQUARE))
 
 
-@query("j14_nearest_node", f"""WITH {PTS}, nodes AS (SELECT CAST(i AS BIGINT) AS node, (i % 10) * 11.0 AS x, (i // 10) * 13.0 AS y FROM range(0, 120) t(i)), d AS (SELECT event_id, node, sqrt(power(k - x, 2) + power(value - y, 2)) AS d FROM pts, nodes WHERE value < 150)
+@query("j14_nearest_node", f"""WITH {PTS}, nodes AS (SELECT CAST(i AS BIGINT) AS node, (i % 10) * 11.0 AS x, (i // 10) * 13.0 AS y FROM range(0, 120) t(i)), d AS (SELECT event_id, node, sqrt(power(k - x, 2) + power(value - y, 2)) AS d FROM pts, nodes)
 SELECT event_id, arg_min(node, (d, node)) AS node, round(min(d), 6) AS distance FROM d GROUP BY event_id""")
 def j14(spark, sf):
     nodes = spark.range(120).select(F.col("id").alias("node"), (F.col("id") % 10 * 11.0).alias("x"), (F.floor(F.col("id") / 10) * 13.0).cast("double").alias("y"))
-    p = points(spark, sf).where("value < 150").select("event_id", F.col("k").cast("double").alias("x"), F.col("value").alias("y"))
-    return spatial.nearest_node(p, nodes, "event_id", "node", 12.0, rings=4).select("event_id", "node", F.round("distance", 6).alias("distance"))
+    p = points(spark, sf).select("event_id", F.col("k").cast("double").alias("x"), F.col("value").alias("y"))
+    return spatial.nearest_node(p, nodes, "event_id", "node", 12.0, rings=10).select("event_id", "node", F.round("distance", 6).alias("distance"))
 
 
 CELLS = "c AS (SELECT CAST(n AS BIGINT) AS n, CAST(e AS BIGINT) AS e FROM range(0, 10) a(n), range(0, 10) b(e) WHERE (n + e) % 3 <> 0)"
@@ -67,24 +67,24 @@ def t14(spark, sf):
     return spatial.densify(e, 7.5).select("edge", "k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("t13_cost_raster", f"""WITH {PTS}, c AS (SELECT CAST(n AS BIGINT) AS n, CAST(e AS BIGINT) AS e FROM range(0, 12) a(n), range(0, 12) b(e)), h AS (SELECT k // 10 AS n, CAST(floor(value / 10) AS BIGINT) AS e, count(*) AS v FROM pts WHERE k % 10 < 6 AND value < 60 GROUP BY ALL),
+@query("t13_cost_raster", f"""WITH {PTS}, c AS (SELECT CAST(n AS BIGINT) AS n, CAST(e AS BIGINT) AS e FROM range(0, 12) a(n), range(0, 40) b(e)), h AS (SELECT k // 10 AS n, CAST(floor(value / 10) AS BIGINT) AS e, count(*) AS v FROM pts GROUP BY ALL),
 p AS (SELECT c.n, c.e, v / (SELECT sum(v) FROM c JOIN h USING (n, e)) AS p FROM c LEFT JOIN h USING (n, e)), q AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN 1 - p WHEN p IS NOT NULL THEN 0 END AS x FROM p), m AS (SELECT min(x) AS lo, max(x) AS hi FROM q)
 SELECT n, e, round(CASE WHEN x IS NOT NULL THEN (CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0 END) WHEN n % 4 = 0 THEN 100 ELSE 100000 END, 6) AS cost FROM q, m""")
 def t13(spark, sf):
-    lattice = spark.range(144).select(F.floor(F.col("id") / 12).alias("n"), (F.col("id") % 12).alias("e"))
-    p = points(spark, sf).where("k % 10 < 6 AND value < 60").select(F.floor(F.col("k") / 10).alias("n"), F.floor(F.col("value") / 10).alias("e"))
+    lattice = spark.range(480).select(F.floor(F.col("id") / 40).alias("n"), (F.col("id") % 40).alias("e"))
+    p = points(spark, sf).select(F.floor(F.col("k") / 10).alias("n"), F.floor(F.col("value") / 10).alias("e"))
     hist = spatial.cell_histogram(p.withColumnsRenamed({"n": "cn", "e": "ce"}), lattice.withColumnsRenamed({"n": "cn", "e": "ce"}), ["cn", "ce"])
     out = spatial.visited_costs(hist, lattice.where("n % 4 = 0").withColumnsRenamed({"n": "cn", "e": "ce"}), ["cn", "ce"])
     return out.select(F.col("cn").alias("n"), F.col("ce").alias("e"), F.round("cost", 6).alias("cost"))
 
 
-DENS_SQL = f"""pl AS (SELECT id, CAST(k AS DOUBLE) AS x, value AS y, count(*) AS w FROM pts WHERE id < 40 AND value < 100 GROUP BY ALL), tot AS (SELECT id, sum(w) AS total FROM pl GROUP BY id),
+DENS_SQL = f"""pl AS (SELECT id, CAST(k AS DOUBLE) AS x, value AS y, count(*) AS w FROM pts GROUP BY ALL), tot AS (SELECT id, sum(w) AS total FROM pl GROUP BY id),
 cx AS (SELECT *, unnest(generate_series(CAST(ceil((x - 15) / 5) AS BIGINT), CAST(floor((x + 15) / 5) AS BIGINT))) AS e FROM pl), cy AS (SELECT *, unnest(generate_series(CAST(ceil((y - 15) / 5) AS BIGINT), CAST(floor((y + 15) / 5) AS BIGINT))) AS n FROM cx),
 dens AS (SELECT id, n, e, round(sum(w * (1 - (power(e * 5 - x, 2) + power(n * 5 - y, 2)) / 225.0)) * 2 / (pi() * 225.0 * any_value(total)), 9) AS density FROM cy JOIN tot USING (id) WHERE power(e * 5 - x, 2) + power(n * 5 - y, 2) < 225 GROUP BY id, n, e)"""
 
 
 def dens(spark, sf):
-    p = points(spark, sf).where("id < 40 AND value < 100").withColumn("x", F.col("k").cast("double")).withColumn("y", F.col("value"))
+    p = points(spark, sf).withColumn("x", F.col("k").cast("double")).withColumn("y", F.col("value"))
     return spatial.density(p, "id", 15.0, 5.0).withColumn("density", F.round("density", 9))
 
 
@@ -100,7 +100,7 @@ def g01_peaks(spark, sf):
 
 @query("g01_zones")
 def g01_zones(spark, sf):
-    return spatial.basins(spatial.above_mean(dens(spark, sf).where("id < 10"), "id"), "id")
+    return spatial.basins(spatial.above_mean(dens(spark, sf), "id"), "id")
 
 
 @query("g01a_snap_to_grid", f"WITH {PTS}, m AS (SELECT id, min(k) AS a FROM pts GROUP BY id) SELECT event_id, CAST(ceil((k - a) / 10.0) AS BIGINT) AS cell FROM pts JOIN m USING (id)")
@@ -111,10 +111,10 @@ def g01a(spark, sf):
 @query("g02_raster_fill")
 def g02(spark, sf):
     w = ordered("id", "ts", "event_id")
-    p = points(spark, sf).where("id < 20 AND value < 100").withColumn("n0", F.floor(F.col("k") / 5).cast("int")).withColumn("e0", F.floor(F.col("value") / 5).cast("int"))
+    p = points(spark, sf).withColumn("n0", F.floor(F.col("k") / 25).cast("int")).withColumn("e0", F.floor(F.col("value") / 25).cast("int"))
     gaps = p.select(F.col("event_id").alias("gap_id"), "n0", "e0", F.lead("n0").over(w).alias("n1"), F.lead("e0").over(w).alias("e1"), F.lit(4).alias("missing")).where("n1 IS NOT NULL")
-    raster = spark.range(20 * 20).select(F.floor(F.col("id") / 20).cast("int").alias("n"), (F.col("id") % 20).cast("int").alias("e")).withColumn("cost", F.when((F.col("n") + F.col("e")) % 3 == 0, 0.5).otherwise(100.0))
-    return graph.raster_fill(gaps, raster, 5.0)
+    raster = spark.range(4 * 60).select(F.floor(F.col("id") / 60).cast("int").alias("n"), (F.col("id") % 60).cast("int").alias("e")).withColumn("cost", F.when((F.col("n") + F.col("e")) % 3 == 0, 0.5).otherwise(100.0))
+    return graph.raster_fill(gaps, raster, 25.0, margin=3)
 
 
 ROADS = [(a * 5 + b, c * 5 + d, 1.0 + (a * 7 + b * 3) % 5) for a in range(5) for b in range(5) for c, d in ((a + 1, b), (a, b + 1)) if c < 5 and d < 5]
@@ -154,8 +154,7 @@ def riders(spark, sf):
 @query("t09_bus_probability", f"WITH {MAIN_SQL}, {PTS}, {BUS_SQL} SELECT t.trip, round(p, 9) AS probability FROM (SELECT DISTINCT trip FROM person) t LEFT JOIN (SELECT trip, max(h / s) AS p FROM each WHERE s > 2 GROUP BY trip) USING (trip)")
 def t09(spark, sf):
     person, bus = riders(spark, sf)
-    routes = person.select("trip").distinct().crossJoin(bus.select("route").distinct())
-    return transit.bus_probability(person, bus, routes).withColumn("probability", F.round("probability", 9))
+    return transit.bus_probability(person, bus).withColumn("probability", F.round("probability", 9))
 
 
 @query("j17_cell_overlap", f"WITH {MAIN_SQL}, {PTS}, {BUS_SQL} SELECT trip, route, count(DISTINCT minute) AS minutes FROM hits GROUP BY ALL")
@@ -180,11 +179,11 @@ def a20(spark, sf):
     return each.where("s > 2").select("trip", "route", "bus_trip", F.round(F.col("h") / F.col("s"), 9).alias("share"))
 
 
-@query("t06_bus_prisms", f"""WITH {MAIN_SQL}, m AS (SELECT trip_id, CAST(substr(time, 1, 2) AS INTEGER) * 60 + CAST(substr(time, 4, 2) AS INTEGER) AS minute, any_value(CAST(floor(easting / 250) AS BIGINT)) AS e, min(CAST(floor(northing / 250) AS BIGINT)) AS n FROM main WHERE trip_id < 300 GROUP BY ALL),
+@query("t06_bus_prisms", f"""WITH {MAIN_SQL}, m AS (SELECT trip_id, CAST(substr(time, 1, 2) AS INTEGER) * 60 + CAST(substr(time, 4, 2) AS INTEGER) AS minute, any_value(CAST(floor(easting / 250) AS BIGINT)) AS e, min(CAST(floor(northing / 250) AS BIGINT)) AS n FROM main GROUP BY ALL),
 l AS (SELECT *, lead(minute) OVER w AS m1, lead(n) OVER w AS n1 FROM m WINDOW w AS (PARTITION BY trip_id ORDER BY minute)) SELECT trip_id, CAST(count(*) AS BIGINT) AS legs FROM l WHERE m1 IS NOT NULL GROUP BY trip_id""")
 def t06(spark, sf):
     _, bus = riders(spark, sf)
-    known = bus.where("bus_trip < 300").groupBy("bus_trip", "minute").agg(F.min("n").alias("n"), F.min("e").alias("e"))
+    known = bus.groupBy("bus_trip", "minute").agg(F.min("n").alias("n"), F.min("e").alias("e"))
     w = ordered("bus_trip", "minute")
     legs = known.select("bus_trip", F.lead("minute").over(w).alias("m1")).where("m1 IS NOT NULL")
     return legs.groupBy(F.col("bus_trip").alias("trip_id")).agg(F.count("*").alias("legs"))
@@ -192,28 +191,27 @@ def t06(spark, sf):
 
 def known_minutes(spark, sf):
     """Cells of participants by hours that stand for minutes, unknown ones included."""
-    p = points(spark, sf).where("id < 30 AND value < 150")
+    p = points(spark, sf)
     start = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
     at = p.withColumn("h", F.timestamp_diff("HOUR", start, F.col("ts"))).groupBy("id", "h").agg(F.min(F.floor(F.col("k") / 10).cast("int")).alias("n"), F.min(F.floor(F.col("value") / 10).cast("int")).alias("e"))
     ends = at.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).select("id", F.explode(F.sequence("a", "b")).alias("h"))
     return ends.join(at, ["id", "h"], "left").withColumn("minute", F.timestamp_add("MINUTE", F.col("h").cast("int"), start)).drop("h")
 
 
-KNOWN_SQL = """spots_at AS (SELECT id, datediff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS h, min(k // 10) AS n, min(CAST(floor(value / 10) AS BIGINT)) AS e FROM pts WHERE id < 30 AND value < 150 GROUP BY ALL),
+KNOWN_SQL = """spots_at AS (SELECT id, datediff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS h, min(k // 10) AS n, min(CAST(floor(value / 10) AS BIGINT)) AS e FROM pts GROUP BY ALL),
 sp AS (SELECT id, unnest(generate_series(min(h), max(h))) AS h FROM spots_at GROUP BY id), kn AS (SELECT sp.id, sp.h, n, e FROM sp LEFT JOIN spots_at USING (id, h)),
 nb AS (SELECT id, h, n, last_value(n IGNORE NULLS) OVER b AS n0, last_value(e IGNORE NULLS) OVER b AS e0, last_value(CASE WHEN n IS NOT NULL THEN h END IGNORE NULLS) OVER b AS h0, first_value(n IGNORE NULLS) OVER a AS n1, first_value(e IGNORE NULLS) OVER a AS e1, first_value(CASE WHEN n IS NOT NULL THEN h END IGNORE NULLS) OVER a AS h1
  FROM kn WINDOW b AS (PARTITION BY id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY id ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query("t01_person_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, TIMESTAMP '2024-01-01' + to_minutes(h) AS minute, n0 + dn AS n, e0 + de AS e FROM nb, range(-40, 41) a(dn), range(-40, 41) b(de) WHERE (h1 - h0 < 15 OR nb.n IS NOT NULL) AND (dn * dn + de * de) * 2500 <= power((h - h0) * 120, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 2500 <= power((h1 - h) * 120, 2)")
+@query("t01_person_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, TIMESTAMP '2024-01-01' + to_minutes(h) AS minute, count(*) AS cells FROM nb, range(-20, 21) a(dn), range(-20, 21) b(de) WHERE (h1 - h0 < 15 OR nb.n IS NOT NULL) AND (dn * dn + de * de) * 10000 <= power((h - h0) * 120, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 10000 <= power((h1 - h) * 120, 2) GROUP BY ALL")
 def t01(spark, sf):
-    return transit.prism_minutes(known_minutes(spark, sf), "id", "minute", 50.0)
+    return transit.prism_minutes(known_minutes(spark, sf), "id", "minute", 100.0).groupBy("id", "minute").agg(F.count("*").alias("cells"))
 
 
-@query("t03_unbounded_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, count(*) AS cells FROM nb, range(-120, 121) a(dn), range(-120, 121) b(de) WHERE id < 10 AND (dn * dn + de * de) * 2500 <= power((h - h0) * 60, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 2500 <= power((h1 - h) * 60, 2) GROUP BY id")
+@query("t03_unbounded_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, count(*) AS cells FROM nb, range(-60, 61) a(dn), range(-60, 61) b(de) WHERE (dn * dn + de * de) * 40000 <= power((h - h0) * 60, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 40000 <= power((h1 - h) * 60, 2) GROUP BY id")
 def t03(spark, sf):
-    k = known_minutes(spark, sf).where("id < 10")
-    return transit.prism_minutes(k, "id", "minute", 50.0, speed=1.0, gap_minutes=None).groupBy("id").agg(F.count("*").alias("cells"))
+    return transit.prism_minutes(known_minutes(spark, sf), "id", "minute", 200.0, speed=1.0, gap_minutes=None).groupBy("id").agg(F.count("*").alias("cells"))
 
 
 @query("w25_dwell_cells", f"WITH {PTS}, {MOVES_SQL}, d AS (SELECT id, segment, start_time, end_time FROM moves WHERE trip_length = 1 AND duration > 3) SELECT event_id, coalesce(first_value(k // 10) OVER (PARTITION BY p.id, coalesce(CAST(segment AS VARCHAR), 'e' || event_id) ORDER BY ts), k // 10) AS n FROM pts p LEFT JOIN d ON p.id = d.id AND ts BETWEEN start_time AND end_time")
@@ -266,28 +264,27 @@ def x07a(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(text.terms_of(plain)).alias("terms"))
 
 
-TFIDF_SQL = """tok AS (SELECT id, unnest(string_split(event_type || ' z' || zone, ' ')) AS term FROM pts WHERE id < {most}), tf AS (SELECT {key} AS c, id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT c, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT c, count(DISTINCT id) AS n FROM tf GROUP BY c),
+TFIDF_SQL = """tok AS (SELECT id, unnest(string_split(event_type || ' z' || zone, ' ')) AS term FROM pts), tf AS (SELECT {key} AS c, id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT c, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT c, count(DISTINCT id) AS n FROM tf GROUP BY c),
 w AS (SELECT c, id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (c, term) JOIN n USING (c)), wt AS (SELECT c, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY c, id)) AS weight FROM w)"""
 
 
-def bags(spark, sf, most):
-    p = points(spark, sf).where(F.col("id") < most)
-    return p.groupBy("id").agg(F.flatten(F.collect_list(F.array("event_type", F.concat(F.lit("z"), F.col("zone").cast("string"))))).alias("terms"))
+def bags(spark, sf):
+    return points(spark, sf).groupBy("id").agg(F.flatten(F.collect_list(F.array("event_type", F.concat(F.lit("z"), F.col("zone").cast("string"))))).alias("terms"))
 
 
-@query("x07_tfidf", f"WITH {PTS}, {TFIDF_SQL.format(most=100, key='0')} SELECT id, term, round(weight, 6) AS weight FROM wt")
+@query("x07_tfidf", f"WITH {PTS}, {TFIDF_SQL.format(key='0')} SELECT id, term, round(weight, 6) AS weight FROM wt")
 def x07(spark, sf):
-    return text.tfidf(bags(spark, sf, 100), "id", "terms").select("id", "term", F.round("weight", 6).alias("weight"))
+    return text.tfidf(bags(spark, sf), "id", "terms").select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 COS_SQL = "cs AS (SELECT a.id AS i, b.id AS j, sum(a.weight * b.weight) AS score FROM wt a JOIN wt b ON a.term = b.term AND a.c = b.c AND a.id > b.id GROUP BY ALL)"
 
 
 def similar(spark, sf):
-    return text.cosine_pairs(text.tfidf(bags(spark, sf, 100), "id", "terms"), "id")
+    return text.cosine_pairs(text.tfidf(bags(spark, sf), "id", "terms"), "id")
 
 
-@query("x08_cosine", f"WITH {PTS}, {TFIDF_SQL.format(most=100, key='0')}, {COS_SQL} SELECT i, j, round(score, 6) AS score FROM cs")
+@query("x08_cosine", f"WITH {PTS}, {TFIDF_SQL.format(key='0')}, {COS_SQL} SELECT i, j, round(score, 6) AS score FROM cs")
 def x08(spark, sf):
     return similar(spark, sf).withColumn("score", F.round("score", 6))
 
@@ -304,22 +301,22 @@ def x09(spark, sf):
     return pairs.select("id", F.round("score", 6).alias("score"))
 
 
-@query("x10_day_by_day", f"""WITH {PTS}, tf AS (SELECT id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, event_type AS term, count(*) AS tf FROM pts WHERE id < 60 GROUP BY ALL), ok AS (SELECT id, d FROM tf GROUP BY id, d HAVING sum(tf) > 2), t2 AS (SELECT * FROM tf JOIN ok USING (id, d)), df AS (SELECT id, term, count(*) AS df FROM t2 GROUP BY ALL), n AS (SELECT id, count(*) AS n FROM ok GROUP BY id),
+@query("x10_day_by_day", f"""WITH {PTS}, tf AS (SELECT id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, event_type AS term, count(*) AS tf FROM pts GROUP BY ALL), ok AS (SELECT id, d FROM tf GROUP BY id, d HAVING sum(tf) > 2), t2 AS (SELECT * FROM tf JOIN ok USING (id, d)), df AS (SELECT id, term, count(*) AS df FROM t2 GROUP BY ALL), n AS (SELECT id, count(*) AS n FROM ok GROUP BY id),
 w AS (SELECT id, d, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM t2 JOIN df USING (id, term) JOIN n USING (id)), wt AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id, d)) AS x FROM w)
 SELECT a.id, a.d AS i, b.d AS j, round(sum(a.x * b.x), 6) AS score FROM wt a JOIN wt b ON a.id = b.id AND a.term = b.term AND a.d > b.d GROUP BY ALL""")
 def x10(spark, sf):
-    p = points(spark, sf).where("id < 60").withColumn("d", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    p = points(spark, sf).withColumn("d", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     docs = p.groupBy("id", "d").agg(F.collect_list("event_type").alias("terms")).where(F.size("terms") > 2)
     return text.cosine_pairs(text.tfidf(docs, "d", "terms", ["id"]), "d", ["id"]).withColumn("score", F.round("score", 6))
 
 
-@query("g05_similarity_edges", f"WITH {PTS}, {TFIDF_SQL.format(most=100, key='0')}, {COS_SQL} SELECT i, j, round(1 - round(score, 9), 5) AS weight FROM cs WHERE round(score, 9) > 0.5")
+@query("g05_similarity_edges", f"WITH {PTS}, {TFIDF_SQL.format(key='0')}, {COS_SQL} SELECT i, j, round(1 - round(score, 9), 5) AS weight FROM cs WHERE round(score, 9) > 0.5")
 def g05(spark, sf):
     pairs = similar(spark, sf).withColumn("score", F.round("score", 9))
     return text.similarity_edges(pairs, 0.5).withColumn("weight", F.round("weight", 5))
 
 
-@query("g04_degrees", f"WITH {PTS}, {TFIDF_SQL.format(most=100, key='0')}, {COS_SQL}, e AS (SELECT i, j, 1 - round(score, 9) AS weight FROM cs WHERE round(score, 9) > 0.5), b AS (SELECT i AS node, weight FROM e UNION ALL SELECT j, weight FROM e) SELECT node, count(*) AS degree, round(sum(weight), 5) AS weighted, round(avg(weight), 5) AS mean_weight FROM b GROUP BY node")
+@query("g04_degrees", f"WITH {PTS}, {TFIDF_SQL.format(key='0')}, {COS_SQL}, e AS (SELECT i, j, 1 - round(score, 9) AS weight FROM cs WHERE round(score, 9) > 0.5), b AS (SELECT i AS node, weight FROM e UNION ALL SELECT j, weight FROM e) SELECT node, count(*) AS degree, round(sum(weight), 5) AS weighted, round(avg(weight), 5) AS mean_weight FROM b GROUP BY node")
 def g04(spark, sf):
     edges = text.similarity_edges(similar(spark, sf).withColumn("score", F.round("score", 9)), 0.5)
     return text.weighted_degrees(edges).withColumns({c: F.round(c, 5) for c in ("weighted", "mean_weight")})
@@ -327,16 +324,13 @@ def g04(spark, sf):
 
 @query("g04_communities")
 def g04_communities(spark, sf):
-    # one edge for each two of at most 100 participants: small whatever the tables' size
-    edges = text.similarity_edges(similar(spark, sf), 0.5)
-    of = graph.louvain([(r["i"], r["j"], r["weight"]) for r in edges.collect()])
-    return spark.createDataFrame(sorted(of.items()), "id long, community long")
+    return graph.communities(text.similarity_edges(similar(spark, sf), 0.5))
 
 
-@query("j21_similar_traits", f"WITH {PTS}, {TFIDF_SQL.format(most=100, key='0')}, {COS_SQL}, b AS (SELECT i AS id, j AS other, score FROM cs UNION ALL SELECT j, i, score FROM cs UNION ALL SELECT DISTINCT id, id, 1.0 FROM wt) SELECT b.id, other, c_mktsegment FROM b JOIN customer ON c_custkey = other WHERE round(score, 9) > 0.5")
+@query("j21_similar_traits", f"WITH {PTS}, {TFIDF_SQL.format(key='0')}, {COS_SQL}, b AS (SELECT i AS id, j AS other, score FROM cs UNION ALL SELECT j, i, score FROM cs UNION ALL SELECT DISTINCT id, id, 1.0 FROM wt) SELECT b.id, other, c_mktsegment FROM b JOIN customer ON c_custkey = other WHERE round(score, 9) > 0.5")
 def j21(spark, sf):
     s = similar(spark, sf).withColumn("score", F.round("score", 9))
-    ids = bags(spark, sf, 100).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("score"))
+    ids = bags(spark, sf).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("score"))
     both = s.unionByName(s.select(F.col("j").alias("i"), F.col("i").alias("j"), "score")).unionByName(ids).where("score > 0.5")
     return both.join(table(spark, sf, "customer"), F.col("j") == F.col("c_custkey")).select(F.col("i").alias("id"), F.col("j").alias("other"), "c_mktsegment")
 
@@ -372,7 +366,7 @@ def a21(spark, sf):
 
 @query("m03_piecewise_fits")
 def m03(spark, sf):
-    h = activity.histogram(points(spark, sf).where("id < 40").withColumn("counts", F.col("value") * 20), ["id"], "counts", 0, 10000, 100)
+    h = activity.histogram(points(spark, sf).withColumn("counts", F.col("value") * 20), ["id"], "counts", 0, 10000, 100)
     return fits.piecewise_fits(activity.log_frequencies(activity.trimmed_tail(h, ["id"]), ["id"], 0, 100), "id")
 
 
@@ -387,5 +381,5 @@ def m01(spark, sf):
 
 @query("c06_detect_trips")
 def c06(spark, sf):
-    p = points(spark, sf).where("id < 10 AND value < 150").select("event_id", "id", "ts", F.col("k").cast("double").alias("x"), F.col("value").alias("y"))
+    p = points(spark, sf).select("event_id", "id", "ts", F.col("k").cast("double").alias("x"), F.col("value").alias("y"))
     return detect.detect_trips(p, "id", "ts", "event_id", detect.EVENT_SCALE).incidents

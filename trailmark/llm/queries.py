@@ -128,4 +128,16 @@ per_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN per_words USING (doc_id) LEFT JOIN per_items USING (doc_id)""",
+    # the table is filled by turns: one step of the recursion for each claim
+    "op8_sharding": """
+WITH RECURSIVE n AS (SELECT CAST(k AS INTEGER) AS k, 'shard-' || lpad(CAST(k AS VARCHAR), 2, '0') AS name FROM range(0, 32) t(k)),
+p AS (SELECT k, name, CAST('0x' || substr(md5(name || '/offset'), 1, 15) AS BIGINT) % 8191 AS first, CAST('0x' || substr(md5(name || '/skip'), 1, 15) AS BIGINT) % 8190 + 1 AS skip FROM n),
+fill(step, owner, slot) AS (
+  SELECT -1, list_transform(range(0, 8191), lambda x: CAST(-1 AS INTEGER)), CAST(-1 AS BIGINT)
+  UNION ALL
+  SELECT step + 1, list_concat(list_concat(owner[1:s], [CAST((step + 1) % 32 AS INTEGER)]), owner[s + 2:8191]), s
+  FROM (SELECT step, owner, list_filter(list_transform(range(0, 8191), lambda j: (first + j * skip) % 8191), lambda q: owner[q + 1] < 0)[1] AS s
+        FROM fill JOIN p ON p.k = (step + 1) % 32 WHERE step < 8190)),
+lookup AS (SELECT slot, name FROM fill JOIN n ON n.k = step % 32 WHERE step >= 0)
+SELECT doc_id, slot, name AS shard FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % 8191 AS slot FROM documents) JOIN lookup USING (slot)""",
 }

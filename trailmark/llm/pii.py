@@ -15,14 +15,14 @@ bound whatever the data, counted over all documents; the trees become a column e
 Patterns are possessive where that changes no match, so long runs need no stack and no backtracking.
 
 Defined results: a null text is empty; repeated rows have equal results; an empty table gives an empty one;
-positions are code points, ends exclusive. Spans of one text are gathered in an array, in time that grows
-with the square of their number beyond some ten thousand.
+positions are code points, ends exclusive. Spans of one text are gathered and compared in blocks, so that
+many spans in one text do not take time by the square of their number.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,19 +59,52 @@ DIGIT_EDGES, GROUP_EDGES = (4, 7, 8, 10, 12, 14, 16, 17, 20), (2, 3, 4, 5, 6)
 TREES, DEPTH, STEP, LEAST_WEIGHT, PRECISION, LEAST_CALIBRATION = 40, 3, 0.3, 2.0, 0.9, 20
 
 
+#: Types of spans, and the spans in a block of them.
+EMPTY, PLACES, BLOCK = "array<struct<start:int,stop:int,match:string>>", "array<struct<kind:int,start:int,stop:int>>", 256
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, match>> of the leftmost matches that do not overlap."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("skip"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,match:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("block"), F.array().cast(f"array<{EMPTY}>").alias("full"))
 
     def step(acc: Column, x: Column) -> Column:
         first = acc["at"] + x["skip"]
         stop = first + F.length(x["match"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), stop.alias("stop"), x["match"].alias("match")))).alias("out"))
+        return F.struct(stop.alias("at"), *pushed(acc, F.struct(first.alias("start"), stop.alias("stop"), x["match"].alias("match"))))
+
+    return F.aggregate(pairs, start, step, lambda acc: F.flatten(blocks_of(acc)))
+
+
+def pushed(acc: Column, item: Column) -> tuple[Column, Column]:
+    """The fields block and full after one more item. Full blocks are set aside, so that a long array does
+    not grow by copies of itself."""
+    full = F.size(acc["block"]) >= BLOCK
+    block = F.when(full, F.array(item)).otherwise(F.concat(acc["block"], F.array(item)))
+    return block.alias("block"), F.when(full, F.concat(acc["full"], F.array(acc["block"]))).otherwise(acc["full"]).alias("full")
+
+
+def blocks_of(acc: Column) -> Column:
+    return F.when(F.size(acc["block"]) > 0, F.concat(acc["full"], F.array(acc["block"]))).otherwise(acc["full"])
+
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def bounded(spans: Column) -> Column:
+    """array<struct<lo, hi, spans>>: spans in blocks, with the bounds of each block; none of no spans."""
+    start = F.struct(F.array().cast(PLACES).alias("block"), F.array().cast(f"array<{PLACES}>").alias("full"))
+    bounds = lambda b: F.struct(F.array_min(F.transform(b, lambda s: s["start"])).alias("lo"), F.array_max(F.transform(b, lambda s: s["stop"])).alias("hi"), b.alias("spans"))
+    return F.aggregate(spans, start, lambda acc, s: F.struct(*pushed(acc, s)), lambda acc: F.transform(blocks_of(acc), bounds))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once and not for each element of a loop within."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def touched(blocks: Column, c: Column, also: Callable[[Column], Column]) -> Column:
+    """Whether a span of the blocks overlaps c and meets a condition; only blocks that reach c are searched."""
+    return F.exists(blocks, lambda k: (k["lo"] < c["stop"]) & (c["start"] < k["hi"]) & F.exists(k["spans"], lambda s: overlaps(s, c) & also(s)))
 
 
 def digits_of(match: Column) -> Column:
@@ -108,9 +141,6 @@ def passes(kind: str, match: Column) -> Column:
     return octets_fit(match) if kind == "ip" else F.lit(True)
 
 
-EMPTY = "array<struct<start:int,stop:int,match:string>>"
-
-
 def guarded(text: Column, needs: str, spans: Column) -> Column:
     """spans where the text has a character that every match needs; an empty array elsewhere."""
     have = F.contains(text, F.lit("@")) | text.rlike(r"(?i)[\[( ]at[\]) ]") if needs == "@" else text.rlike("[0-9]") if needs == "0" else F.contains(text, F.lit(needs))
@@ -136,7 +166,12 @@ def candidate(text: Column, kind: int, span: Column) -> Column:
     """The candidate's place and its binned features."""
     m, digits = span["match"], F.length(digits_of(span["match"]))
     before = F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substring(text, span["stop"] + 1, F.lit(1))
+    around = F.struct(before.alias("before"), F.substring(text, span["stop"] + 1, F.lit(1)).alias("after"))
+    return once(around, lambda w: described(kind, span, m, digits, w["before"], w["after"]))
+
+
+def described(kind: int, span: Column, m: Column, digits: Column, before: Column, after: Column) -> Column:
+    """The features of a candidate from its match, the text before it and the character after it."""
     signs = sum((F.when(F.contains(m, F.lit(c)), w).otherwise(0) for c, w in ((" ", 1), ("-", 2), (".", 4), ("(", 8))), F.lit(0))
     cue = F.lit(0)
     for k, pattern in reversed(list(enumerate(CUES, 1))):
@@ -162,8 +197,9 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = F.concat(*[F.transform(k, of_kind(i)) for i, k in enumerate(KINDS)])
     proposed = F.concat(*[F.transform(f"g{i}", proposal(k)) for i, (k, _) in enumerate(GENERATORS)])
     rows = rows.select("id", base.alias("base"), proposed.alias("proposed"))
-    seen = lambda c: F.exists("base", lambda b: (b["kind"] == c["kind"]) & overlaps(b, c))
-    return rows.select("id", "base", F.transform("proposed", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), *[c[f].alias(f) for f in FEATURES], seen(c).alias("is_base"))).alias("candidates"))
+    seen = lambda blocks, c: touched(blocks, c, lambda b: b["kind"] == c["kind"])
+    judged = lambda blocks: F.transform("proposed", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), *[c[f].alias(f) for f in FEATURES], seen(blocks, c).alias("is_base")))
+    return rows.select("id", "base", once(bounded(F.col("base")), judged).alias("candidates"))
 
 
 def contingency(table: DataFrame) -> list[tuple[tuple[int, ...], int, float, float]]:
@@ -277,14 +313,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = boost([r for r in rows if r[1] == 0]) if rows else (0.0, [])
     limits = thresholds([r for r in rows if r[1] == 1], model)
     place = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"))
-    fresh = lambda c: ~F.exists("base", lambda b: overlaps(b, c))
     if any(t is not None for t in limits):
         passed = F.transform(F.filter("candidates", lambda c: ~c["is_base"] & chosen(c, model, limits)), place)
     else:
-        passed = F.array().cast("array<struct<kind:int,start:int,stop:int>>")
+        passed = F.array().cast(PLACES)
     stage = table.select("id", "base", passed.alias("passed"))
-    first = lambda c: ~F.exists("passed", lambda o: overlaps(o, c) & (o["kind"] < c["kind"]))
-    added = F.array_sort(F.filter("passed", lambda c: fresh(c) & first(c)))
+    fresh = lambda blocks: F.filter("passed", lambda c: ~touched(blocks, c, lambda b: F.lit(True)))
+    first = lambda blocks: F.filter("fresh", lambda c: ~touched(blocks, c, lambda o: o["kind"] < c["kind"]))
+    stage = stage.select("id", "base", "passed", once(bounded(F.col("base")), fresh).alias("fresh"))
+    added = F.array_sort(once(bounded(F.col("passed")), first))
     out = Scratch(spark, "pii_result").keep(stage.select("id", "base", added.alias("added")), "rows")
     scratch.drop()
     return out

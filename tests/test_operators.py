@@ -195,3 +195,11 @@ def test_streams(spark, tmp_path):
         q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == n
+
+
+def test_first_cell(spark):
+    from trailmark.operators import spatial
+
+    rows = spark.createDataFrame([(1, [(2.9, -3.5)]), (2, []), (3, None), (4, [(5.0, 1.0), (1.5, 9.0)])], "id long, cells array<struct<n:double,e:double>>")
+    got = {r["id"]: (r["n"], r["e"]) for r in spatial.first_cell(rows, "cells").collect()}
+    assert got == {1: (2, -3), 2: (None, None), 3: (None, None), 4: (1, 9)}

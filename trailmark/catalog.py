@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.queries import base, more, places, scalars, series  # noqa: F401  registers the queries
+from trailmark.queries import base, composites, more, places, scalars, series  # noqa: F401  registers the queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

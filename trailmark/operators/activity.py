@@ -38,6 +38,14 @@ def daily_report(df: DataFrame, key: str, day: Column, count: str, least_rows: i
     return df.groupBy(key, day.alias("day")).agg(*aggs, F.count("*").alias("total")).where(F.col("total") >= least_rows).withColumn("recommended", F.lit(recommended))
 
 
+def span_report(df: DataFrame, key: str, time: str, count: str, first: str, last: str, least_rows: int = 50) -> DataFrame:
+    """The daily report of the days from first to last, both included. The bounds are plain comparisons of
+    the time column, so scans can skip what lies outside."""
+    at = lambda d: F.to_timestamp_ntz(F.lit(f"{d} 00:00:00"))
+    inside = df.where((F.col(time) >= at(first)) & (F.col(time) < at(last) + F.expr("INTERVAL 1 DAY")))
+    return daily_report(inside, key, F.date_trunc("day", time).cast("timestamp_ntz"), count, least_rows)
+
+
 def rounded_day(time: Column) -> Column:
     """The nearest midnight; noon goes to the even day since 1970."""
     half = seconds(time, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))) / 86400

@@ -108,3 +108,8 @@ def activity_counts(samples: DataFrame, key: str, time: str, rate: int = 50) ->
         return out
 
     return grid.groupBy(key).applyInPandas(make, f"{key} long, second long, x_count long, y_count long, z_count long, summary_count double")
+
+
+def axes(counted: DataFrame, key: str) -> DataFrame:
+    """(key, second, axis1, axis2, axis3): the counts of x, y and z as whole numbers."""
+    return counted.select(key, "second", *[F.col(f"{c}_count").cast("int").alias(f"axis{k}") for k, c in enumerate("xyz", 1)])

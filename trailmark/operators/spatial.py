@@ -162,3 +162,10 @@ def visited_costs(hist: DataFrame, road: DataFrame, on: Sequence[str], count: st
     marked = scaled.join(road.select(*on).distinct().withColumn("__road", F.lit(True)), list(on), "left")
     value = F.coalesce("c", F.when(F.col("__road"), F.lit(road_cost)), F.lit(elsewhere))
     return marked.select(*on, value.alias("cost"))
+
+
+def first_cell(df: DataFrame, cells: str) -> DataFrame:
+    """n and e of a row's only cell, cut to whole numbers; of the least one where there are more, null where
+    there is none."""
+    least = F.array_min(cells)
+    return df.withColumn("n", least["n"].cast("long")).withColumn("e", least["e"].cast("long"))

@@ -370,13 +370,16 @@ def m03(spark, sf):
     return fits.piecewise_fits(activity.log_frequencies(activity.trimmed_tail(h, ["id"]), ["id"], 0, 100), "id")
 
 
-@query("m01_counts")
-def m01(spark, sf):
-    # three made-up axes of 50 samples a second, for a minute and each of five participants
+def sampled_axes(spark):
+    """Three made-up axes of 50 samples a second, for a minute and each of five participants."""
     start = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
     t = F.col("id") % 3000 / 50.0
-    s = spark.range(15000).select(F.floor(F.col("id") / 3000).alias("pid"), F.timestamp_add("MICROSECOND", (F.col("id") % 3000) * 20000, start).alias("ts"), F.sin(6.283185307179586 * t).alias("x"), F.cos(12.566370614359172 * t).alias("y"), F.lit(0.01).alias("z"))
-    return signal.activity_counts(s, "pid", "ts")
+    return spark.range(15000).select(F.floor(F.col("id") / 3000).alias("pid"), F.timestamp_add("MICROSECOND", (F.col("id") % 3000) * 20000, start).alias("ts"), F.sin(6.283185307179586 * t).alias("x"), F.cos(12.566370614359172 * t).alias("y"), F.lit(0.01).alias("z"))
+
+
+@query("m01_counts")
+def m01(spark, sf):
+    return signal.activity_counts(sampled_axes(spark), "pid", "ts")
 
 
 @query("c06_detect_trips")

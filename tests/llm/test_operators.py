@@ -239,6 +239,15 @@ def test_pii_base_spans(spark):
     assert pii.personal_data(make(spark, [])).count() == 0
 
 
+def test_pii_many_spans_in_one_text(spark):
+    texts = [(1, "a@b.co 1.2.3.4 +1 555 555 0000 4532015112830366 " * 300), (2, "1.2.3.4 " * 256), (3, "1.2.3.4 " * 257)]
+    got = {g["id"]: g for g in pii.personal_data(make(spark, texts)).collect()}
+    for i, t in texts:
+        assert [(pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in got[i]["base"]] == brute_pii(t)
+        places = [(s["start"], s["stop"]) for s in got[i]["base"]]
+        assert not any(a["start"] < y and x < a["stop"] for a in got[i]["added"] for x, y in places)
+
+
 def test_pii_adds_what_looks_valid(spark):
     r = random.Random(2)
 

@@ -446,6 +446,24 @@ def test_mixing(spark):
     assert mixing.mixing_rates(docs, table.limit(0)).count() == len(rows) and mixing.mixing_rates(make(spark, []), table).count() == 0
 
 
+def test_toxic_words_of_a_minority_language(spark):
+    """Ten toxic texts of a small language, each with words that few texts hold, beside 300 of another."""
+    r = random.Random(2)
+    words = {"en": VOCABULARY, "es": [f"{chr(97 + k // 26)}{chr(97 + k % 26)}os" for k in range(400)]}
+    bad = {"en": ["trash", "idiot", "scum"], "es": ["bocoos", "bomenteco", "bomenteado"]}
+    rows, labels = [], []
+    for k in range(1600):
+        lang = "es" if k >= 1500 else "en"
+        toxic = k % 10 == 0 if lang == "es" else k % 5 == 0
+        text = [r.choice(words[lang]) for _ in range(80)] + (bad[lang] if toxic else [])
+        rows.append((k, " ".join(text), lang, "s", 1, "c", "i", "f", "w"))
+        labels.append((k, 1, int(toxic)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    rates = {g["row_id"]: g["rate"] for g in mixing.mixing_rates(docs, table).collect()}
+    assert all(rates[k] < 0.05 if t else rates[k] > 0.95 for k, _, t in labels)
+
+
 # --- language identification
 
 

@@ -12,7 +12,8 @@ and longer ones that the domains' token-weighted Gram matrix preconditions, the
 never gets worse. A pass is two aggregations of a narrow table, to a few sums for each pair of domains. Rates are a nested column expression of the passes' residuals, so nothing is stored
 between passes and a lost executor costs a rescan of its part.
 
-All of it is DataFrame functions. The classifier is fitted on at most FIT_ROWS labelled documents; token
+All of it is DataFrame functions. The classifier is fitted on at most FIT_ROWS labelled documents; words of
+the toxic class are found in each language by itself and in all together, at most LEXICON_WORDS; token
 counts and rates are over all documents.
 
 Defined results: a null text has no tokens and rate 0; labels of no known document are ignored, and so are
@@ -26,19 +27,21 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.scratch import Scratch
 
 #: Labelled documents that the classifier is fitted on, at most; words of its lexicon, at most.
-FIT_ROWS, LEXICON_WORDS = 20_000, 64
-#: A lexicon word stands in so many labelled documents, in this share of the marked ones (more than copies of
-#: one of them make up), and so many times as often in those.
-LEAST_SUPPORT, LEAST_SHARE, LEAST_LIFT = 8, 0.03, 10.0
+FIT_ROWS, LEXICON_WORDS = 20_000, 4096
+#: A lexicon word stands in so many different labelled texts of its scope, and so many times as often in the
+#: marked ones; that chance would give any word of the scope so many hits has at most this probability.
+LEAST_SUPPORT, LEAST_LIFT, CHANCE = 4, 10.0, 0.05
 #: Words that a language has anyway are in more than this share of the unmarked documents.
 COMMON_SHARE = 0.05
 SYMBOLS = "#*$%&|<>!"
+#: The column of documents whose values have lexicons of their own.
+LANGUAGE = "lang"
 
 
 @dataclass(frozen=True)
@@ -68,12 +71,22 @@ def bins(value: Column, edges: Sequence[float]) -> Column:
     return sum((F.when(value >= e, 1).otherwise(0) for e in edges), F.lit(0)).cast("int")
 
 
-def features(text: Column, words: Column, lexicon: Sequence[str]) -> dict[str, Column]:
+def marked_words(words: Column, language: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
+    """How many different words are in the lexicon of all languages or of the text's own."""
+    every = lexicon.get("", [])
+    found = lambda listed: F.filter(words, lambda w: w.isin(list(listed)))
+    out = found(every) if every else F.slice(words, 1, 0)
+    for scope, listed in lexicon.items():
+        if scope:
+            out = F.when(language == scope, found({*every, *listed})).otherwise(out)
+    return F.size(F.array_distinct(out))
+
+
+def features(text: Column, words: Column, marked: Column) -> dict[str, Column]:
     """Binned features of a text."""
     size = F.greatest(F.length(text), F.lit(1))
     count = F.greatest(F.size(words), F.lit(1))
     share = lambda chars: (size - F.length(F.regexp_replace(text, f"[{chars}]+", ""))) / size
-    marked = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in lexicon]))) if lexicon else F.lit(0)
     return {
         "f_marked": bins(marked, [1, 2, 3]),
         "f_symbols": bins(share(SYMBOLS), [0.005, 0.02, 0.06, 0.15]),
@@ -83,16 +96,30 @@ def features(text: Column, words: Column, lexicon: Sequence[str]) -> dict[str, C
     }
 
 
-def learn_lexicon(words: DataFrame) -> list[str]:
-    """Words of the marked class, from (marked boolean, words array of distinct words) of the sample."""
-    sums = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("marked").cast("long")), F.lit(0)).alias("m")).first()
-    n, m = sums["n"], sums["m"]
-    if not m or m == n:
-        return []
-    each = words.select("marked", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("docs"), F.sum(F.col("marked").cast("long")).alias("hits"))
-    lift = ((F.col("hits") + 0.5) / (m + 1)) / ((F.col("docs") - F.col("hits") + 0.5) / (n - m + 1))
-    good = each.where((F.col("docs") >= LEAST_SUPPORT) & (F.col("hits") >= LEAST_SHARE * m) & (F.col("docs") - F.col("hits") <= COMMON_SHARE * (n - m))).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
-    return [r["word"] for r in good.orderBy(F.desc(F.col("hits") * F.log("lift")), "word").limit(LEXICON_WORDS).collect()]
+def learn_lexicon(words: DataFrame, scratch: Scratch) -> dict[str, list[str]]:
+    """Words of the marked class, from (marked boolean, language, text hash, words array of distinct words) of
+    the sample: those of all languages under "", and those of each language. Copies of a text count once."""
+    once = words.groupBy("language", "text_hash").agg(F.max("marked").alias("marked"), F.first("words").alias("words"))
+    scopes = F.array_distinct(F.array(F.lit(""), F.coalesce("language", F.lit(""))))
+    once = scratch.keep(once.select(F.explode(scopes).alias("scope"), "marked", "words"), "once")
+    sums = once.groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.col("marked").cast("long")).alias("m")).where("m > 0 AND m < n")
+    each = once.select("scope", "marked", F.explode("words").alias("word")).groupBy("scope", "word").agg(F.count("*").alias("docs"), F.sum(F.col("marked").cast("long")).alias("hits"))
+    each = scratch.keep(each.where(F.col("docs") >= LEAST_SUPPORT), "words")
+    tested = each.groupBy("scope").agg(F.count("*").alias("tested"))
+    # one row for each language of the sample
+    rated = each.where("hits > 0").join(F.broadcast(sums.join(tested, "scope")), "scope")
+    docs, hits, n, m = (F.col(c) for c in ("docs", "hits", "n", "m"))
+    lift = ((hits + 0.5) / (m + 1)) / ((docs - hits + 0.5) / (n - m + 1))
+    share, base = hits / docs, m / n
+    # Chernoff bound of so many hits by chance, for all tested words together
+    surprise = docs * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
+    good = rated.where((docs - hits <= COMMON_SHARE * (n - m)) & (share > base) & (surprise >= F.log(F.col("tested") / CHANCE))).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
+    # scopes take their words by turn, so no language is crowded out
+    turn = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc(hits * F.log("lift")), "word"))
+    out: dict[str, list[str]] = {}
+    for r in good.select("scope", "word", turn.alias("turn")).orderBy("turn", "scope").limit(LEXICON_WORDS).collect():
+        out.setdefault(r["scope"], []).append(r["word"])
+    return out
 
 
 def posterior_columns(classes: Sequence[str], counts: Sequence, names: Sequence[str]) -> list[Column]:
@@ -120,19 +147,21 @@ def posterior_columns(classes: Sequence[str], counts: Sequence, names: Sequence[
 def posteriors(docs: DataFrame, labels: DataFrame, classes: Sequence[str], scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, tokens, p_<class>...) of each row of docs, written; the row's id passes through."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), text.alias("words"))
+    # without a column of languages all words are of one scope
+    language = (F.col(f"`{LANGUAGE}`") if LANGUAGE in docs.columns else F.lit(None)).cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), text.alias("words"), language.alias("language"))
     severity = F.max(F.struct(F.col("toxic") == 1, F.col("quality") == 0, domain_of(F.col("quality"), F.col("toxic")).alias("domain")))["domain"]
     known = labels.groupBy(F.col("doc_id").alias("row_id")).agg(severity.alias("domain")).where("domain IS NOT NULL AND row_id IS NOT NULL")
     # at most FIT_ROWS rows of two short columns: a size that may be broadcast
     sample = scratch.keep(known.orderBy(F.xxhash64("row_id"), "row_id").limit(FIT_ROWS), "sample")
-    labelled = rows.join(F.broadcast(sample), "row_id").select("domain", "words", word_array(F.col("words")).alias("split"))
+    labelled = rows.join(F.broadcast(sample), "row_id").select("domain", "language", "words", word_array(F.col("words")).alias("split"))
     labelled = scratch.keep(labelled, "labelled")
-    lexicon = learn_lexicon(labelled.select((F.col("domain") == "toxic").alias("marked"), F.array_distinct("split").alias("words")))
-    of = features(F.col("words"), F.col("split"), lexicon)
+    lexicon = learn_lexicon(labelled.select((F.col("domain") == "toxic").alias("marked"), "language", F.xxhash64("words").alias("text_hash"), F.array_distinct("split").alias("words")), scratch)
+    of = features(F.col("words"), F.col("split"), marked_words(F.col("split"), F.col("language"), lexicon))
     binned = labelled.select("domain", *[c.alias(n) for n, c in of.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("bin")) for n in of]))
     counts = binned.select("domain", pairs.alias("f")).groupBy("domain", "f.feature", "f.bin").agg(F.count("*").alias("n")).collect()
-    split = rows.select("row_id", "words", word_array(F.col("words")).alias("split"), F.size(F.array_remove(F.split("words", "[ \t-\r]+"), "")).cast("long").alias("tokens"))
+    split = rows.select("row_id", "language", "words", word_array(F.col("words")).alias("split"), F.size(F.array_remove(F.split("words", "[ \t-\r]+"), "")).cast("long").alias("tokens"))
     binned = split.select("row_id", "tokens", *[c.alias(n) for n, c in of.items()])
     p = posterior_columns(classes, counts, list(of))
     return scratch.keep(binned.select("row_id", "tokens", *[c.alias(f"p_{n}") for n, c in zip(classes, p, strict=True)]), "posteriors")

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trailmark.llm import components, decontaminate, langid, mixing, pii, quality, sharding, simhash, substring_dedup, training_order, warc
-from trailmark.llm.scratch import Scratch
+from trailmark.llm.scratch import Scratch, hashes_to
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, id string, fp string, words string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,6 +129,13 @@ def test_packed_numbers(values):
     assert np.array_equal(substring_dedup.unpack(substring_dedup.pack(x)), x)
 
 
+def test_numbers_are_dealt_out_evenly(spark):
+    numbers = spark.range(3000).select("id", hashes_to(F.col("id")).alias("k"))
+    assert numbers.where("hash(k) <> id").count() == 0
+    sizes = [r["n"] for r in numbers.repartition(7, "k").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
+
+
 # --- SimHash
 
 

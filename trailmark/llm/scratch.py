@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Used only where the session names no checkpoint folder (tests on one machine).
@@ -18,6 +19,37 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
+#: Murmur3 of 32 bits, by which Spark deals rows out: its multipliers, addend, and the seed Spark takes.
+MURMUR_KEY, MURMUR_END, MURMUR_ADD, SPARK_SEED = (0xCC9E2D51, 0x1B873593), (0x85EBCA6B, 0xC2B2AE35), 0xE6546B64, 42
+WORD = 0xFFFFFFFF
+
+
+def hashes_to(number: Column) -> Column:
+    """The int whose hash in Spark is number (from 0 to below 2 ** 31). Rows that are dealt out by it go to
+    partition or bucket number % n of n, so consecutive numbers share no bucket before all have one."""
+    inverse = lambda c: pow(c, -1, 1 << 32)
+    # 32-bit product in halves, which overflows no long
+    times = lambda x, c: (x.bitwiseAND(0xFFFF) * F.lit(c) + F.shiftleft((F.shiftright(x, 16) * F.lit(c)).bitwiseAND(0xFFFF), 16)).bitwiseAND(WORD)
+    turned = lambda x, s: F.shiftright(x, s).bitwiseOR(F.shiftleft(x, 32 - s).bitwiseAND(WORD))
+    steps = (
+        lambda h: h.bitwiseXOR(F.shiftright(h, 16)),
+        lambda h: times(h, inverse(MURMUR_END[1])),
+        lambda h: h.bitwiseXOR(F.shiftright(h, 13)).bitwiseXOR(F.shiftright(h, 26)),
+        lambda h: times(h, inverse(MURMUR_END[0])),
+        lambda h: h.bitwiseXOR(F.shiftright(h, 16)).bitwiseXOR(F.lit(4).cast("long")),
+        lambda h: times((h - F.lit(MURMUR_ADD)).bitwiseAND(WORD), inverse(5)),
+        lambda h: turned(h, 13).bitwiseXOR(F.lit(SPARK_SEED).cast("long")),
+        lambda h: times(h, inverse(MURMUR_KEY[1])),
+        lambda h: turned(h, 15),
+        lambda h: times(h, inverse(MURMUR_KEY[0])),
+        lambda h: F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h),
+    )
+    h = F.array(number.cast("long"))
+    for step in steps:
+        h = F.transform(h, step)
+    return h[0].cast("int")
+
+
 class Scratch:
     """Tables of one run under one folder. What is written there cuts lineage: a lost executor costs
     only the tasks that it ran, since every later step reads files."""

@@ -8,12 +8,14 @@ into chunks of documents:
    numbers, about two bytes a window and row). The sketches are merged by ranges of cells; a chunk gets
    back those of its cells whose merged count is two or more.
 2. Windows whose count is overestimated or exact two in every row are grouped exactly, by 128 bits: a chunk
-   sends each once with its least document, and gets back the least document of all where that is smaller.
-   A window that two documents share is counted twice in each of its cells, so none is lost.
+   sends each once with its place and its least document, and gets back the places of those that an earlier
+   document of another chunk has. A window that two documents share is counted twice in each of its cells,
+   so none is lost.
 3. Every chunk removes what an earlier document has.
 
 A window's key goes from a chunk at most once, so passages that are in a third of all documents load no
-task more than others. Nothing reaches the driver but sums.
+task more than others. Nothing reaches the driver but sums. A chunk sends a record to each range of cells, so
+chunks and ranges both grow with the square root of the input, up to what a task's memory holds.
 
 Defined results: a null or empty text has no words; a document shorter than a window keeps all; rows of
 one id are one document for the order (they do not remove each other's words); rows without an id come
@@ -30,16 +32,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.scratch import Scratch
+from trailmark.llm.scratch import Scratch, hashes_to
 from trailmark.llm.words import MULTIPLIERS, covered, mix, run_hashes, split_words, word_hashes
 
 WINDOW = 13
 #: Rows of the sketch, and its counters a row for each window of the input (an estimate, from its bytes).
 SKETCH_ROWS, CELLS_PER_WINDOW = 2, 16
 BYTES_PER_WORD = 6
-#: Bytes of text in a chunk, windows' cells in a range, and candidates in a bucket, about.
-CHUNK_BYTES, RANGE_CELLS = 4 << 20, 1 << 20
-MOST_BUCKETS = 20_000
+#: Bytes of text in a chunk and windows' cells in a range, about: for small inputs, and at most.
+CHUNK_BYTES, MOST_CHUNK_BYTES = 4 << 20, 16 << 20
+RANGE_CELLS, MOST_RANGE_CELLS = 1 << 20, 4 << 20
+#: Bytes of input from which chunks and ranges grow.
+GROWS_FROM = 1 << 30
+#: Files that the texts are dealt into, at most; each has the same number of chunks, or one less.
+MOST_FILES = 20_000
 #: Stands for a missing id: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -67,11 +73,17 @@ def by_key(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return order
 
 
+def growing(least: int, most: int, total: int) -> int:
+    """least, growing with the square root of the input's bytes up to most."""
+    return min(most, int(least * max(1.0, (total / GROWS_FROM) ** 0.5)))
+
+
 class Chunk:
-    """The windows of some documents: ids[i] is the document of window i, keys its 128 bits in two parts."""
+    """The windows of some documents: ids[i] is the document of window i, keys its 128 bits in two parts.
+    Places of windows are the same whenever the chunk is read: rows are ordered by id, and then by text."""
 
     def __init__(self, pdf: pd.DataFrame, window: int):
-        pdf = pdf.sort_values("id", kind="stable", na_position="last")
+        pdf = pdf.sort_values(["id", "words"] if pdf["id"].duplicated().any() else "id", kind="stable", na_position="last")
         self.texts = pdf["words"].tolist()
         self.raw_ids = [None if pd.isna(i) else int(i) for i in pdf["id"]]
         self.doc_ids = np.array([LAST if i is None else i for i in self.raw_ids], np.int64)
@@ -126,8 +138,8 @@ def repeated_cells(parts: list[bytes]) -> list[bytes | None]:
     return out
 
 
-def candidates(chunk: Chunk, hot: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, part, least document) of each window of the chunk whose cells are all in hot."""
+def candidates(chunk: Chunk, hot: list[np.ndarray], bits: int) -> np.ndarray:
+    """Places of the chunk's windows whose cells are all in hot, one of each key, in order."""
     at = chunk.firsts()
     for row, have in enumerate(hot):
         if not len(have):
@@ -136,73 +148,62 @@ def candidates(chunk: Chunk, hot: list[np.ndarray], bits: int) -> tuple[np.ndarr
             c = cells((chunk.keys[0][at], chunk.keys[1][at]), row, bits)
             place = np.minimum(np.searchsorted(have, c), len(have) - 1)
             at = at[have[place] == c]
-    return chunk.keys[0][at], chunk.keys[1][at], chunk.ids[at]
+    return np.sort(at)
 
 
-def group_exactly(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each chunk's windows, those that an earlier document of another chunk has, with the earliest."""
+def group_exactly(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of each chunk's windows (a, b, document), a mask of those that an earlier document of another chunk has."""
     a, b, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-    owner = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
     order = by_key(a, b, d)
-    a, b, d, owner = a[order], b[order], d[order], owner[order]
-    first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-    later = least < d
-    a, b, least, owner = a[later], b[later], least[later], owner[later]
-    by_owner = np.argsort(owner, kind="stable")
-    cut = np.searchsorted(owner[by_owner], np.arange(len(parts) + 1))
-    return [tuple(x[by_owner[cut[k] : cut[k + 1]]] for x in (a, b, least)) for k in range(len(parts))]
-
-
-def earliest(chunk: Chunk, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """The least document that holds each window of the chunk, by the chunk itself and by what was found."""
+    a, b = a[order], b[order]
+    first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    least = d[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+    later = np.empty(len(d), bool)
+    later[order] = least < d[order]
+    return np.split(later, np.cumsum([len(x[0]) for x in parts])[:-1])
+
+
+def repeated(chunk: Chunk, elsewhere: np.ndarray) -> np.ndarray:
+    """Mask of the windows that an earlier document has, of the chunk or elsewhere. elsewhere: places of
+    windows (of firsts()) that an earlier document of another chunk has."""
+    found = np.zeros(len(chunk.order), bool)
+    found[elsewhere] = True
     at = chunk.firsts()
-    least, a, b = chunk.ids[at], chunk.keys[0][at], chunk.keys[1][at]
-    fa, fb, fd = found
-    place = np.searchsorted(a, fa)
-    while len(fa):
-        inside = place < len(a)
-        fa, fb, fd, place = (x[inside] for x in (fa, fb, fd, place))
-        inside = a[place] == fa
-        fa, fb, fd, place = (x[inside] for x in (fa, fb, fd, place))
-        same = b[place] == fb
-        np.minimum.at(least, place[same], fd[same])
-        fa, fb, fd, place = fa[~same], fb[~same], fd[~same], place[~same] + 1
-    order, begin = chunk.order, chunk.begin
-    out = np.empty(len(order), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(begin, len(order))))
+    size = np.diff(np.append(chunk.begin, len(chunk.order)))
+    out = np.empty(len(chunk.order), bool)
+    out[chunk.order] = np.repeat(found[at], size) | (chunk.ids[chunk.order] > np.repeat(chunk.ids[at], size))
     return out
 
 
-def kept_words(chunk: Chunk, least: np.ndarray, window: int) -> list[tuple]:
+def kept_words(chunk: Chunk, gone: np.ndarray, window: int) -> list[tuple]:
     """(id, words, words removed, what is left) of each document."""
     ends = np.cumsum(chunk.counts)
     rows = []
     for i, text in enumerate(chunk.texts):
         words = split_words(text)
         at = slice(ends[i] - chunk.counts[i], ends[i])
-        hit = np.flatnonzero(least[at] < chunk.doc_ids[i])
+        hit = np.flatnonzero(gone[at])
         left = words
         if len(hit):
-            gone = covered(len(words), hit, window).tolist()
-            left = [w for w, g in zip(words, gone, strict=True) if not g]
+            mask = covered(len(words), hit, window).tolist()
+            left = [w for w, g in zip(words, mask, strict=True) if not g]
         rows.append((chunk.raw_ids[i], len(words), len(words) - len(left), b" ".join(left)))
     return rows
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True, chunk_bytes: int | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept]): each document without the passages that an earlier one
     has, its words joined by one space. Runs at once; the result is a written table."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("words"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
+    chunk_bytes = chunk_bytes or growing(CHUNK_BYTES, MOST_CHUNK_BYTES, total)
     n_chunks = max(1, -(-total // chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = max(10, int(np.ceil(np.log2(max(1, total / BYTES_PER_WORD * CELLS_PER_WINDOW)))))
-    n_ranges = min(MOST_BUCKETS, max(8, total // BYTES_PER_WORD // RANGE_CELLS))
-    range_bits = int(np.ceil(np.log2(n_ranges)))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("words"))), F.lit(n_chunks)))
-    base = scratch.keep_bucketed(chunked, "base", "chunk", min(n_chunks, MOST_BUCKETS))
+    range_bits = int(np.ceil(np.log2(max(8, total // BYTES_PER_WORD // growing(RANGE_CELLS, MOST_RANGE_CELLS, total)))))
+    number = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("words"))), F.lit(n_chunks))
+    base = scratch.keep_bucketed(rows.withColumn("chunk", hashes_to(number)), "base", "chunk", min(n_chunks, MOST_FILES))
     scratch.release()
 
     def sketched(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,7 +213,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pdf = pdf.assign(cells=repeated_cells(pdf["cells"].tolist()))
         return pdf[pdf["cells"].notna()]
 
-    cell_rows = "chunk long, range long, cells binary"
+    cell_rows = "chunk int, range long, cells binary"
     sketches = base.groupBy("chunk").applyInPandas(sketched, cell_rows)
     hot = scratch.keep(sketches.groupBy("range").applyInPandas(merged, cell_rows), "hot")
     scratch.release()
@@ -226,28 +227,35 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 offset = np.uint64(k & ((1 << range_bits) - 1)) << np.uint64(bits - range_bits)
                 have[k >> range_bits].append(unpack(data) + offset)
             have = [np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in have]
-            a, b, d = candidates(Chunk(pdf, window), have, bits)
-            bucket = (b >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            chunk = Chunk(pdf, window)
+            at = candidates(chunk, have, bits)
+            bucket = (chunk.keys[1][at] >> np.uint64(64 - bucket_bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                out.append((key[0], bucket[part[0]], a[part].tobytes(), b[part].tobytes(), d[part].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "a", "b", "d"])
+                # places rise, and so do documents
+                own = at[part]
+                ids, runs = np.unique(chunk.ids[own], return_counts=True)
+                out.append((key[0], bucket[part[0]], pack(own.astype(np.uint64)), chunk.keys[0][own].tobytes() + chunk.keys[1][own].tobytes(), ids.tobytes(), runs.astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "at", "keys", "ids", "runs"])
 
     def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(d, np.int64)) for a, b, d in zip(pdf["a"], pdf["b"], pdf["d"], strict=True)]
-        found = group_exactly(parts)
-        out = [(c, k, a.tobytes(), b.tobytes(), d.tobytes()) for c, k, (a, b, d) in zip(pdf["chunk"], pdf["bucket"], found, strict=True) if len(a)]
-        return pd.DataFrame(out, columns=["chunk", "bucket", "a", "b", "d"])
-
-    key_rows = "chunk long, bucket long, a binary, b binary, d binary"
-    proposals = base.groupBy("chunk").cogroup(hot.groupBy("chunk")).applyInPandas(proposed, key_rows)
-    found = scratch.keep(proposals.groupBy("bucket").applyInPandas(grouped, key_rows), "found")
+        parts = []
+        for keys, ids, runs in zip(pdf["keys"], pdf["ids"], pdf["runs"], strict=True):
+            a, b = np.frombuffer(keys, np.uint64).reshape(2, -1)
+            parts.append((a, b, np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(runs, "<u4"))))
+        masks = group_exactly(parts)
+        out = [(c, pack(unpack(at)[mask])) for c, at, mask in zip(pdf["chunk"], pdf["at"], masks, strict=True) if mask.any()]
+        return pd.DataFrame(out, columns=["chunk", "at"])
+
+    proposals = base.groupBy("chunk").cogroup(hot.groupBy("chunk")).applyInPandas(proposed, "chunk int, bucket long, at binary, keys binary, ids binary, runs binary")
+    found = scratch.keep(proposals.groupBy("bucket").applyInPandas(grouped, "chunk int, at binary"), "found")
+    scratch.drop("hot")
     scratch.release()
 
     def removed(key: tuple, pdf: pd.DataFrame, found_pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(pdf, window)
-        known = tuple(np.frombuffer(b"".join(found_pdf[c]), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("d", np.int64)))
-        out = pd.DataFrame(kept_words(chunk, earliest(chunk, known), window), columns=["id", "n_words", "n_removed", "kept"])
+        elsewhere = np.concatenate([np.zeros(0, np.uint64), *map(unpack, found_pdf["at"])]).astype(np.int64)
+        out = pd.DataFrame(kept_words(chunk, repeated(chunk, elsewhere), window), columns=["id", "n_words", "n_removed", "kept"])
         out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in out["kept"]]
         out["kept"] = [x.decode("utf-8", "replace") for x in out["kept"]] if with_text else None
         return out.astype({"id": "Int64"})[["id", "n_words", "n_removed", "kept_sha256", "kept"]]

@@ -38,9 +38,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
-    counts = [pii.count_kind(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [pii.count_kind(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
     every = F.array_sort(F.concat("base", "added"))
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(every).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

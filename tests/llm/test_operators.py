@@ -48,7 +48,7 @@ def test_chunked_framing_round_trip():
     for n in (0, 1, 7, 8, 9, 100):
         body = bytes(RANDOM.randrange(256) for _ in range(n))
         assert warc.unchunked(warc.chunked(body, 8)) == body
-    for broken in (b"", b"5\r\nab", b"zz\r\n", b"3\r\nabcde\r\n0\r\n\r\n"):
+    for broken in (b"", b"5\r\nab", b"zz\r\n", b"3\r\nabcde\r\n0\r\n\r\n", b"1\r\na\r\n-6\r\n", b"+1\r\na\r\n0\r\n\r\n", b"0x1\r\na\r\n0\r\n\r\n", b"1_0\r\n"):
         with pytest.raises(ValueError):
             warc.unchunked(broken)
 
@@ -85,6 +85,44 @@ def test_warc_broken_segments(spark):
     assert warc.read_captures(spark, Scratch(spark, "t").keep(spark.createDataFrame([], "v string"), "e") and path).count() == 1
 
 
+def test_warc_broken_archives(spark):
+    import gzip
+
+    records = [r + warc.END for k in range(3) for r in warc.capture_records(f"n{k}", k, "u", bytes(RANDOM.randrange(256) for _ in range(3000)), None, warc.ArchiveRules())]
+    bad_length = records[0].replace(b"Content-Length: ", b"Content-Length: abc", 1)
+    packed = bytearray(gzip.compress(b"".join(records)))
+    packed[len(packed) // 2] ^= 0xFF
+    cut = gzip.compress(b"".join(records))[:3000]
+    assert len(list(warc.parse_archive(gzip.compress(records[0]) + gzip.compress(records[1])))) == 2
+    for data, least in ((bad_length + records[1], 2), (bytes(packed), 1), (cut, 1), (b"\x1f\x8b\x00", 1)):
+        rows = list(warc.parse_archive(data))
+        assert len(rows) >= least and any(block is None for _, block in rows)
+    path = Scratch(spark, "t").path("c")
+    spark.createDataFrame([(bytearray(cut),)], "v binary").write.parquet(path + "/p")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/a.gz")
+    out = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(files)
+    out.write(bytearray(cut))
+    out.close()
+    got = warc.read_captures(spark, path + "/a.gz").collect()
+    assert "unreadable archive" in {g["status"] for g in got}
+
+
+def test_warc_pieces_that_contradict(spark):
+    piece = lambda k, block, total=None: (k, total, bytearray(block))
+    groups = [([piece(1, b"ab"), piece(2, b"c", 3)], b"abc"), ([piece(1, b"ab"), piece(2, b"c", 3), piece(2, b"c", 3)], b"abc"), ([piece(1, b"ab"), piece(2, b"c", 3), piece(2, b"d", 3)], None), ([piece(1, b"ab"), piece(2, b"c", 4)], None)]
+    df = spark.createDataFrame([(k, g) for k, (g, _) in enumerate(groups)], "k int, g array<struct<segment:long,total:long,block:binary>>")
+    got = {r["k"]: r["b"] for r in df.select("k", warc.joined_segments(F.col("g")).alias("b")).collect()}
+    assert [None if got[k] is None else bytes(got[k]) for k in range(len(groups))] == [x for _, x in groups]
+
+
+def test_warc_repeated_ids(spark):
+    pages = [(1, "a" * 200), (5, "a" * 200), (5, "b" * 200)]
+    path = Scratch(spark, "t").path("w")
+    warc.write_archives(spark.createDataFrame([(i, "u", t) for i, t in pages], "page_id long, url string, html string"), path)
+    got = {(r["page"], r["record_type"], r["refers"], r["payload"] and bytes(r["payload"][:1])) for r in warc.read_captures(spark, path).collect()}
+    assert got == {(1, "response", None, b"a"), (5, "revisit", 1, None), (5, "response", None, b"b")}
+
+
 def test_warc_empty_table(spark):
     path = Scratch(spark, "t").path("w")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
@@ -353,8 +391,24 @@ def test_lcp_intervals_are_maximal_repeats():
     ids = np.array([1, 2, 3, 1, 2, 3, 1, 2])
     order = quality.suffix_array(ids)
     assert [tuple(ids[k:]) for k in order] == sorted(tuple(ids[k:]) for k in range(len(ids)))
-    found = {tuple(ids[order[a] : order[a] + n]): b - a + 1 for n, a, b in quality.lcp_intervals(quality.neighbour_lcp(ids, order), 1)}
-    assert found == {(1, 2): 3, (2,): 3, (1, 2, 3, 1, 2): 2, (2, 3, 1, 2): 2, (3, 1, 2): 2}
+    found = {tuple(ids[order[a] : order[a] + n]): b - a + 1 for n, a, b in quality.maximal_runs(ids, order, quality.neighbour_lcp(ids, order), 1)}
+    assert found == {(1, 2): 3, (1, 2, 3, 1, 2): 2}
+    run, r = np.arange(20), np.random.default_rng(1)
+    once = np.concatenate([[100], run, [101, 102], run, [103]])
+    mask, count, longest = quality.repeats(once, 8)
+    assert (int(mask.sum()), count, longest) == (40, 1, 20)
+    for _ in range(40):
+        ids = r.integers(0, 3, r.integers(2, 30))
+        words = ids.tolist()
+        runs: dict[tuple, list[int]] = {}
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                runs.setdefault(tuple(words[a:b]), []).append(a)
+        sides = lambda at, n, words=words: ({words[a - 1] if a else -1 for a in at}, {words[a + n] if a + n < len(words) else -1 - a for a in at})
+        want = {x: len(at) for x, at in runs.items() if len(at) > 1 and all(len(s) > 1 for s in sides(at, len(x)))}
+        order = quality.suffix_array(ids)
+        got = {tuple(ids[order[a] : order[a] + n].tolist()): b - a + 1 for n, a, b in quality.maximal_runs(ids, order, quality.neighbour_lcp(ids, order), 2)}
+        assert got == want
 
 
 # --- training order

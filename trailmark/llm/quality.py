@@ -1,8 +1,10 @@
 """Quality rules on repetition inside a text, found with suffix arrays of its words.
 
 Every text's words get a suffix array and the longest common prefixes (LCP) of its neighbours. An LCP
-interval of at least ``window`` words is a maximal repeated run of words; the union of all occurrences is
-the covered part of the text. A text fails if that part, or the longest repeat, is too large.
+interval of at least ``window`` words whose occurrences do not all have the same word before them is a maximal
+repeated run: no longer one has the same occurrences. Each suffix begins with the run of the deepest interval
+that holds it; the union of these runs is the covered part of the text, that of all occurrences of all maximal
+runs. A text fails if that part, or the longest repeat, is too large.
 
 Defined results: null and texts without words have zero words and fail for being short; repeated rows
 are judged alike; an empty table gives an empty table; other columns of the input pass through.
@@ -87,7 +89,7 @@ def neighbour_lcp(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Intervals (length, first, last) of suffix array places whose suffixes share length words, at least
-    ``least``, and no wider interval shares as many: the maximal repeated runs."""
+    ``least``, and no wider interval shares as many: the repeated runs that no word more on the right has."""
     found, stack = [], []
     for i, shared in enumerate([*lcp.tolist(), 0]):
         left = i - 1
@@ -100,15 +102,23 @@ def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return found
 
 
+def maximal_runs(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The LCP intervals whose suffixes do not all have the same word before them."""
+    before = np.concatenate([[-1], ids[:-1]])[order]
+    changes = np.cumsum(np.concatenate([[0], before[1:] != before[:-1]]))
+    return [x for x in lcp_intervals(lcp, least) if changes[x[2]] > changes[x[1]]]
+
+
 def repeats(ids: np.ndarray, least: int) -> tuple[np.ndarray, int, int]:
     """Mask of the words in runs of at least ``least`` words that occur again; how many maximal runs there
     are; the longest one's words."""
     order = suffix_array(ids)
     lcp = neighbour_lcp(ids, order)
-    found = lcp_intervals(lcp, least)
-    longest = np.maximum(lcp, np.append(lcp[1:], 0))
-    hit = longest >= least
-    return covered(len(ids), order[hit], longest[hit]), len(found), max((x[0] for x in found), default=0)
+    found = maximal_runs(ids, order, lcp, least)
+    # the length of the deepest interval that holds a suffix is what it shares with a neighbour
+    deepest = np.maximum(lcp, np.append(lcp[1:], 0))
+    hit = deepest >= least
+    return covered(len(ids), order[hit], deepest[hit]), len(found), max((x[0] for x in found), default=0)
 
 
 def has_repeats(words: list[list[bytes]], window: int) -> list[bool]:

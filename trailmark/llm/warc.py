@@ -11,13 +11,16 @@ Reading: archive files are parsed by their Content-Length, segments are grouped
 number, the total length and the payload digest are verified, and chunked framing is decoded.
 
 Defined results: a null payload is empty; a null id gives a record that nothing refers to; of equal
-payloads of ``least_bytes`` or more the rows of the smallest id are responses, all others revisits; missing
-or broken pieces give a row with a null payload and the reason in ``status``; an empty table gives none.
+payloads of ``least_bytes`` or more the rows of the smallest id are responses, all others revisits, whatever
+other payloads rows of their ids have; missing, contradicting or broken pieces give a row with a null payload
+and the reason in ``status``, and so does an archive file that cannot be unpacked to its end; an empty table
+gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +35,10 @@ VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
 #: Names of our own among the headers.
 PAGE_HEADER, OK = "X-Page-Id", "ok"
+#: Stands for the type of what is left of an archive file that cannot be unpacked.
+UNREADABLE = "unreadable"
+HEX_SIZE, WHOLE = re.compile(rb"[0-9A-Fa-f]{1,15}"), re.compile(r"-?[0-9]{1,18}")
+PACKED_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,14 +57,17 @@ def chunked(body: bytes, size: int) -> bytes:
 
 
 def unchunked(data: bytes) -> bytes:
-    """The body of chunked framing; ValueError if it is broken. Extensions and trailers are ignored."""
+    """The body of chunked framing; ValueError if it is broken, or a size is not of hexadecimal digits only.
+    Extensions and trailers are ignored."""
     out, at = [], 0
     while True:
         end = data.find(b"\r\n", at)
         if end < 0:
             raise ValueError("chunk size is missing")
-        size = int(data[at:end].split(b";")[0].strip(), 16)
-        at = end + 2
+        digits = data[at:end].split(b";")[0].strip()
+        if not HEX_SIZE.fullmatch(digits):
+            raise ValueError("chunk size is no number")
+        size, at = int(digits, 16), end + 2
         if size == 0:
             return b"".join(out)
         if data[at + size : at + size + 2] != b"\r\n":
@@ -103,9 +113,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload
     rules = rules or ArchiveRules()
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
-    digests = rows.where(F.octet_length("payload") >= rules.least_bytes).select("page", F.sha2("payload", 256).alias("digest"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= rules.least_bytes, F.sha2("payload", 256)))
+    digests = rows.where("digest IS NOT NULL").select("page", "digest")
     first = digests.groupBy("digest").agg(F.min("page").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = digests.join(first, "digest").where("page <> refers").select("page", "refers").distinct()
+    revisits = digests.join(first, "digest").where("page <> refers").select("page", "digest", "refers").distinct()
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number = TaskContext.get().partitionId(), 0
@@ -117,7 +128,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload
                 number += 1
             yield pd.DataFrame({"record": out}, dtype=object)
 
-    made = rows.join(revisits, "page", "left").mapInPandas(records, "record binary")
+    made = rows.join(revisits, ["page", "digest"], "left").drop("digest").mapInPandas(records, "record binary")
     (
         made.select(F.col("record").cast("string"))
         .write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", rules.records_per_file)
@@ -125,37 +136,58 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload
     )
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers in lower case, block) of each record of an archive; block None where the file is cut off."""
-    if data[:2] == b"\x1f\x8b":
-        parts, rest = [], data
+def unpacked(data: bytes) -> tuple[bytes, bool]:
+    """(the bytes of a file, whether that is all of it). Of a broken gzip file what comes before the break."""
+    if data[:2] != b"\x1f\x8b":
+        return data, True
+    parts, rest = [], data
+    try:
         while rest[:2] == b"\x1f\x8b":
             z = zlib.decompressobj(31)
-            parts.append(z.decompress(rest))
-            rest = z.unused_data
-        data = b"".join(parts)
+            for at in range(0, len(rest), PACKED_BYTES):
+                parts.append(z.decompress(rest[at : at + PACKED_BYTES]))
+                if z.eof:
+                    break
+            rest = z.unused_data + rest[at + PACKED_BYTES :]
+            if not z.eof:
+                return b"".join(parts), False
+    except zlib.error:
+        return b"".join(parts), False
+    return b"".join(parts), True
+
+
+def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers in lower case, block) of each record of an archive; block None where the file is cut off or
+    its length is no number. A file that cannot be unpacked to its end gives a record of type UNREADABLE."""
+    data, whole = unpacked(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(END, at)
         if end < 0:
-            return
+            break
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length", "0"))
+        length = headers.get("content-length", "0")
         at = end + len(END)
+        if not WHOLE.fullmatch(length) or length.startswith("-"):
+            yield headers, None
+            continue
+        size = int(length)
         block = data[at : at + size]
         yield headers, block if len(block) == size else None
         at += size + len(END)
+    if not whole:
+        yield {"warc-type": UNREADABLE}, None
 
 
-PARSED = "record_id string, record_type string, page long, url string, digest string, refers long, origin string, segment int, total long, block binary"
+PARSED = "record_id string, record_type string, page long, url string, digest string, refers long, origin string, segment long, total long, block binary"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row (PARSED) for each record of the archive files below path."""
 
     def whole(x: str | None) -> int | None:
-        return int(x) if x and x.lstrip("-").isdigit() else None
+        return int(x) if x and WHOLE.fullmatch(x) else None
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -166,13 +198,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
                     rows.append((own, h.get("warc-type"), whole(h.get(PAGE_HEADER.lower())), h.get("warc-target-uri"), digest, whole(h.get("x-refers-to-page-id")), h.get("warc-segment-origin-id", own), whole(h.get("warc-segment-number")), whole(h.get("warc-segment-total-length")), block))
                 frame = pd.DataFrame(rows, columns=[x.split()[0] for x in PARSED.split(", ")])
-                yield frame.astype({"page": "Int64", "refers": "Int64", "segment": "Int32", "total": "Int64"})
+                yield frame.astype({"page": "Int64", "refers": "Int64", "segment": "Int64", "total": "Int64"})
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(parsed, PARSED)
 
 
 def decode_block(block: bytes | None, record_type: str, digest: str | None) -> tuple[int | None, bytes | None, str]:
     """(payload bytes, payload, status) of a whole block. Of a revisit only the length is known."""
+    if record_type == UNREADABLE:
+        return None, None, "unreadable archive"
     if block is None:
         return None, None, "missing segment"
     head, found, body = bytes(block).partition(END)
@@ -181,7 +215,7 @@ def decode_block(block: bytes | None, record_type: str, digest: str | None) -> t
     headers = dict(x.split(": ", 1) for x in head.decode("latin-1").lower().split("\r\n")[1:] if ": " in x)
     if record_type == "revisit":
         size = headers.get("content-length", "")
-        return (int(size), None, OK) if size.isdigit() else (None, None, "bad http headers")
+        return (int(size), None, OK) if WHOLE.fullmatch(size) and not size.startswith("-") else (None, None, "bad http headers")
     if headers.get("transfer-encoding") == "chunked":
         try:
             body = unchunked(body)
@@ -207,11 +241,13 @@ def joined_segments(pieces: Column) -> Column:
     def join(groups: pd.Series) -> pd.Series:
         out = []
         for group in groups:
-            by_number = {int(x["segment"]): x for x in group if x["segment"] is not None}
+            by_number: dict[int, set[bytes | None]] = {}
+            for x in group:
+                by_number.setdefault(int(x["segment"]), set()).add(None if x["block"] is None else bytes(x["block"]))
             totals = {int(x["total"]) for x in group if x["total"] is not None}
-            blocks = [by_number[k]["block"] if k in by_number else None for k in range(1, len(by_number) + 1)]
-            whole = len(totals) == 1 and blocks and all(x is not None for x in blocks)
-            block = b"".join(map(bytes, blocks)) if whole else None
+            blocks = [by_number.get(k, {None}) for k in range(1, len(by_number) + 1)]
+            whole = len(totals) == 1 and blocks and all(len(x) == 1 and None not in x for x in blocks)
+            block = b"".join(next(iter(x)) for x in blocks) if whole else None
             out.append(block if block is not None and len(block) in totals else None)
         return pd.Series(out, dtype=object)
 
@@ -223,7 +259,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     Only records in segments are shuffled."""
     records = read_records(spark, path)
     columns = ["page", "url", "record_type", "refers", "digest"]
-    single = records.where("segment IS NULL AND record_type IN ('response', 'revisit')").select(*columns, "block")
+    single = records.where(f"segment IS NULL AND record_type IN ('response', 'revisit', '{UNREADABLE}')").select(*columns, "block")
     first = [F.max(F.when(F.col("record_type") != "continuation", F.col(c))).alias(c) for c in columns]
     pieces = records.where("segment IS NOT NULL").groupBy("origin").agg(*first, F.collect_list(F.struct("segment", "total", "block")).alias("pieces"))
     whole = pieces.select(*columns, joined_segments(F.col("pieces")).alias("block"))

@@ -42,6 +42,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def only_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are the first of their component; same columns. rows: (id, text_hash, component_id,
+    first_hash) of each, the component's least id and least text hash. Rows of one id are one document; rows
+    without an id stay only where no row of the component has one, and then one row does."""
+    has_id, names = F.col("component_id").isNotNull(), docs.columns
+    first = F.when(has_id, F.col("id").eqNullSafe(F.col("component_id"))).otherwise(F.col("text_hash") == F.col("first_hash"))
+    later = rows.where(~first).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    kept = keyed.join(later, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_anti")
+    null = F.col(f"`{id_col}`").isNull()
+    if rows.where("id IS NULL").isEmpty():
+        return kept.select(*[F.col(f"`{c}`") for c in names])
+    return kept.where(~null).unionByName(kept.where(null).dropDuplicates(["__own"])).select(*[F.col(f"`{c}`") for c in names])
+
+
 def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, least node of its component) for the edges of one task, without the least nodes themselves."""
     nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)

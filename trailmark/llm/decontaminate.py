@@ -4,7 +4,8 @@ Documents are taken in shards (a few MB of text). A shard's words get a sparse s
 that begin with enough words of the benchmark's vocabulary, the only ones that can match. Every suffix of
 every test item is binary-searched in it, which gives where its window of ``window`` words occurs; runs
 of such places give the longest verbatim matches. No shuffle is needed: the benchmark goes to the shards,
-in blocks of ``BLOCK_BYTES`` at most, so its size is bounded whatever it holds.
+in blocks of ``BLOCK_BYTES`` at most, one after the other, so neither the driver nor a task holds more than
+one block's index whatever the benchmark's size.
 
 Defined results: null texts and items have no words and match nothing; repeated items count as items of
 their own; repeated documents get equal rows; an empty benchmark leaves all documents clean.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from trailmark.llm.words import covered, slices, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text that are sent to the executors at a time, and of documents in a shard.
-BLOCK_BYTES, SHARD_BYTES = 32 << 20, 2 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
 #: Lower-cases A-Z, and makes all ASCII but letters and digits a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: No text holds this byte, so it is a word that no item has.
@@ -167,21 +169,19 @@ def merge_matches(found: Column) -> Column:
     return F.pandas_udf(merged, MATCHES)(found)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of at most ``most`` bytes each, or of one item."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+    """The items in blocks of at most ``most`` bytes each, or of one item; an empty block if there are none. The
+    driver holds a block and a partition of the benchmark at a time."""
     items = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text_col}`").alias("words"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
-    if total <= most:
-        return [[(r["item"], r["words"]) for r in items.collect()]]
-    blocks, now, held = [], [], 0
+    now, held = [], 0
     for r in items.toLocalIterator():
         size = len(utf8(r["words"]))
         if now and held + size > most:
-            blocks.append(now)
+            yield now
             now, held = [], 0
         now.append((r["item"], r["words"]))
         held += size
-    return [*blocks, now]
+    yield now
 
 
 def with_matches(
@@ -193,8 +193,9 @@ def with_matches(
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`")
     blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
-    if len(blocks) == 1:
-        return docs.withColumn(into, matches_column(text, spark.sparkContext.broadcast(build_index(blocks[0], window))))
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{item_text_col}`"))), F.lit(0)).alias("n")).first()["n"]
+    if total <= block_bytes:
+        return docs.withColumn(into, matches_column(text, spark.sparkContext.broadcast(build_index(next(blocks), window))))
     scratch = Scratch(spark, "matches")
     distinct = docs.select(F.sha2(text, 256).alias("digest"), text.alias("words"))
     parts = []

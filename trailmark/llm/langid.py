@@ -7,12 +7,12 @@ is the one with most letters, its score that language's share of them.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the language
 first in alphabetical order; repeated texts get equal labels; an empty table stays empty. Without any
-labelled text every text is ``und``.
+labelled text every text is ``und``. Numerals (such as a half, or Roman ones of one character) are no letters.
+More labels than MOST_LANGUAGES are refused, not cut.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmark.llm.scratch import Scratch
 from trailmark.llm.words import slices
 
 #: Letters' ranges of the scripts that are told apart; other letters are of script "other".
@@ -44,10 +45,8 @@ SCRIPTS = (
     ("han", "㐀-䶿一-鿿豈-﫿\U00020000-\U0002ffff"),
     ("hangul", "ᄀ-ᇿ㄰-㆏가-힯"),
 )
-#: Labelled texts that a language is learned from, about.
-SAMPLE_TEXTS = 1500
-#: Trigrams of a language that the model keeps: bounds what is sent to the executors.
-KEPT_GRAMS = 20_000
+#: Labelled texts that a language is learned from, about, and languages: these bound the model.
+SAMPLE_TEXTS, MOST_LANGUAGES = 1500, 4096
 #: Cost of changing language between two words, in nats.
 SWITCH = 6.0
 #: Share of a language's letters that a script needs to be one of the language's.
@@ -58,8 +57,18 @@ LABEL = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("lang", T.StringType())]))),
 ])
+
+
+def numerals() -> str:
+    """A class of the characters that \\w matches but that are neither letters nor decimal digits."""
+    found = [k for k in range(0x110000) if (c := chr(k)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    cuts = [k for k, x in enumerate(found) if not k or found[k - 1] != x - 1] + [len(found)]
+    return "".join(f"{chr(found[a])}-{chr(found[b - 1])}" for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 #: Letters; the combining marks of several scripts may follow the first.
-WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])*")
+LETTER = r"\W\d_" + numerals()
+WORD = re.compile(rf"[^{LETTER}](?:[^{LETTER}]|[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])*")
 
 
 def script_of(letter: str) -> str:
@@ -99,39 +108,43 @@ def count_grams(texts: DataFrame, lang: str, text: str) -> DataFrame:
 def sample_labelled(docs: DataFrame, id_col: str, lang_col: str, per_lang: int = SAMPLE_TEXTS) -> DataFrame:
     """About per_lang rows of each language, chosen by a hash of the id."""
     lang, key = F.col(f"`{lang_col}`"), F.col(f"`{id_col}`")
-    counts = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
-    limits = [(r["lang"], r["n"]) for r in counts.orderBy(F.desc("n"), "lang").limit(500).collect()]
-    if not limits:
-        return docs.where(F.lit(False))
-    share = F.create_map(*[x for name, n in limits for x in (F.lit(name), F.lit(min(1.0, per_lang / n)))])
-    return docs.where(F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 20)) < F.element_at(share, lang) * (1 << 20))
-
-
-def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", kept: int = KEPT_GRAMS) -> dict:
-    """The model, bounded by the number of languages and ``kept``, as plain lists and dicts."""
-    counts = count_grams(labelled, lang_col, text_col).persist()
-    try:
-        totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
-        scripts = [tuple(r) for r in counts.where("kind = 'script'").select("lang", "key", "n").collect()]
-        langs = sorted({r["lang"] for r in totals if r["kind"] == "gram"})
-        rows = [tuple(r) for name in langs for r in counts.where((F.col("kind") == "gram") & (F.col("lang") == name)).select("lang", "key", "n").orderBy(F.desc("n"), "key").limit(kept).collect()]
-    finally:
-        counts.unpersist()
-    size = {r["lang"]: (r["n"], r["kinds"]) for r in totals if r["kind"] == "gram"}
-    spread = max((k for _, k in size.values()), default=1) * 2
-    unseen = [math.log(0.5 / (size[name][0] + 0.5 * spread)) for name in langs]
-    table: dict[str, list[float]] = {}
-    for name, key, n in rows:
-        k = langs.index(name)
-        table.setdefault(key, list(unseen))[k] = math.log((n + 0.5) / (size[name][0] + 0.5 * spread))
+    counts = docs.where(lang.isNotNull()).groupBy(lang.alias("__lang")).agg(F.count("*").alias("__n"))
+    found = counts.count()
+    if found > MOST_LANGUAGES:
+        raise ValueError(f"{found} labels, of which at most {MOST_LANGUAGES} can be learned")
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("__n")) * (1 << 20)
+    # one row for each of at most MOST_LANGUAGES labels
+    joined = docs.join(F.broadcast(counts), lang == F.col("__lang"))
+    return joined.where(F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 20)) < share).drop("__lang", "__n")
+
+
+def gram_number(gram: str) -> int:
+    return (ord(gram[0]) << 42) | (ord(gram[1]) << 21) | ord(gram[2])
+
+
+def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:
+    """The model, bounded by the labelled texts: of each trigram the languages that have it, and how far their
+    log likelihoods are above what each has for trigrams that it has not."""
+    scratch = Scratch(labelled.sparkSession, "languages")
+    rows = [tuple(r) for r in scratch.keep(count_grams(labelled, lang_col, text_col), "counts").collect()]
+    scratch.drop()
+    langs = sorted({lang for lang, kind, _, _ in rows if kind == "gram"})
+    number = {lang: k for k, lang in enumerate(langs)}
+    grams = sorted((gram_number(key), number[lang], n) for lang, kind, key, n in rows if kind == "gram")
+    keys, lang, n = (np.array(x, t) for x, t in zip(zip(*grams, strict=True) if grams else ((), (), ()), (np.uint64, np.int64, float), strict=True))
+    kinds = np.bincount(lang, minlength=len(langs))
+    spread = float(kinds.max() if len(langs) else 1) * 2
+    size = np.bincount(lang, n, len(langs)) + 0.5 * spread
+    unseen = np.log(0.5 / size)
+    distinct, starts = np.unique(keys, return_index=True)
     letters = Counter()
-    for name, _, n in scripts:
-        letters[name] += n
+    for name, kind, _, count in rows:
+        letters[name] += count * (kind == "script")
     allowed: dict[str, list[int]] = {}
-    for name, script, n in sorted(scripts):
-        if name in langs and n >= SCRIPT_SHARE * letters[name]:
-            allowed.setdefault(script, []).append(langs.index(name))
-    return {"langs": langs, "grams": table, "unseen": unseen, "allowed": allowed}
+    for name, kind, script, count in sorted(rows):
+        if kind == "script" and name in number and count >= SCRIPT_SHARE * letters[name]:
+            allowed.setdefault(script, []).append(number[name])
+    return {"langs": langs, "keys": distinct, "starts": np.append(starts, len(keys)), "lang": lang, "gain": np.log((n + 0.5) / size[lang]) - unseen[lang] if len(n) else n, "unseen": unseen, "allowed": allowed}
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -141,11 +154,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     order = np.argsort(-lengths, kind="stable")
     begin = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
-    back = np.zeros((total, n_langs), np.int8)
+    back = np.zeros((total, n_langs), np.int32)
     state = np.zeros((len(sizes), n_langs))
     last = np.zeros(len(sizes), np.int64)
     live = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), "right")
-    own = np.arange(n_langs, dtype=np.int8)
+    own = np.arange(n_langs, dtype=np.int32)
     for t, n in enumerate(live.tolist()):
         at = begin[:n] + t
         if t:
@@ -155,7 +168,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
             back[at] = np.where(stay, own, top[:, None])
             state[:n] = np.where(stay, state[:n], best[:, None])
         state[:n] += scores[at]
-    out = np.zeros(total, np.int8)
+    out = np.zeros(total, np.int32)
     last = state.argmax(1) if len(sizes) else last
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
@@ -183,11 +196,6 @@ class ScoredWords:
     def __init__(self, model: dict):
         self.model, self.number, self.script = model, {}, {}
         self.scores = np.zeros((0, len(model["langs"])))
-        names = sorted(model["grams"])
-        keys = np.array([(ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2]) for g in names], np.uint64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.rows = np.array([model["grams"][names[k]] for k in order] + [model["unseen"]], float).reshape(len(names) + 1, -1)
 
     def penalty(self, letter: str) -> np.ndarray:
         """What the languages that do not use the letter's script lose."""
@@ -197,10 +205,16 @@ class ScoredWords:
         return self.script[letter]
 
     def fresh(self, words: list[str]) -> np.ndarray:
+        model, n = self.model, self.scores.shape[1]
         keys, begin = gram_keys(words)
-        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        place[self.keys[place] != keys if len(self.keys) else slice(None)] = len(self.keys)
-        return np.add.reduceat(self.rows[place], begin) + np.array([self.penalty(w[0]) for w in words])
+        sizes = np.diff(np.append(begin, len(keys)))
+        place = np.minimum(np.searchsorted(model["keys"], keys), max(0, len(model["keys"]) - 1))
+        known = np.flatnonzero(model["keys"][place] == keys) if len(model["keys"]) else np.zeros(0, np.int64)
+        first, count = model["starts"][place[known]], np.diff(model["starts"])[place[known]]
+        entry = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        word = np.repeat(np.repeat(np.arange(len(words)), sizes)[known], count)
+        gain = np.bincount(word * n + model["lang"][entry], model["gain"][entry], len(words) * n).reshape(-1, n)
+        return gain + sizes[:, None] * model["unseen"] + np.array([self.penalty(w[0]) for w in words])
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.number) > CACHED_WORDS:
@@ -216,7 +230,7 @@ def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH)
     """viterbi(), which only sees texts that may change language: in the others no stretch of words gains
     more than one switch costs over the language that is best for the whole text."""
     if scores.shape[1] < 2 or not len(scores):
-        return np.zeros(len(scores), np.int8)
+        return np.zeros(len(scores), np.int32)
     begin = np.cumsum(lengths) - lengths
     full = lengths > 0
     main = np.zeros(len(lengths), np.int64)
@@ -225,7 +239,7 @@ def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH)
     others = scores.copy()
     others[np.arange(len(own)), own] = -np.inf
     gain = others.max(1) - scores[np.arange(len(own)), own]
-    out = own.astype(np.int8)
+    out = own.astype(np.int32)
     mixed = []
     for k, (a, n) in enumerate(zip(begin.tolist(), lengths.tolist(), strict=True)):
         if n:

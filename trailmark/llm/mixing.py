@@ -13,27 +13,31 @@ never gets worse. A pass is two aggregations of a narrow table, to a few sums fo
 between passes and a lost executor costs a rescan of its part.
 
 All of it is DataFrame functions. The classifier is fitted on at most FIT_ROWS labelled documents; words of
-the toxic class are found in each language by itself and in all together, at most LEXICON_WORDS; token
-counts and rates are over all documents.
+the toxic class are found in each language by itself and in all together; token counts and rates are over
+all documents. Targets that the bounds or the documents do not allow are not met: how far the delivered copies
+miss them is logged, is in the result, and is refused beyond a bound if one is given.
 
 Defined results: a null text has no tokens and rate 0; labels of no known document are ignored, and so are
 contradicting ones (most severe wins); documents need no labels; without any labelled document all
-posteriors are equal; an empty table gives an empty one. Rows of one id are rated each by itself.
+posteriors are equal; an empty table gives an empty one. Rows of one id are rated each by itself, and equal
+rows alike.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.scratch import Scratch
 
-#: Labelled documents that the classifier is fitted on, at most; words of its lexicon, at most.
-FIT_ROWS, LEXICON_WORDS = 20_000, 4096
+LOG = logging.getLogger(__name__)
+#: Labelled documents that the classifier is fitted on, at most.
+FIT_ROWS = 20_000
 #: A lexicon word stands in so many different labelled texts of its scope, and so many times as often in the
 #: marked ones; that chance would give any word of the scope so many hits has at most this probability.
 LEAST_SUPPORT, LEAST_LIFT, CHANCE = 4, 10.0, 0.05
@@ -51,8 +55,11 @@ class Targets:
     anchor: str = "good"
     max_rate: float = 4.0
     passes: int = 10
-    #: A rate that is this near to 1 is one copy, so documents are not lost or repeated for a nearly even rate.
+    #: Rates so near to 1 are 1, so documents are not lost or repeated for a nearly even rate. The fit's report
+    #: is of the rates after that.
     steady: float = 0.05
+    #: Relative miss of all targets that is refused with an error; none is if it is null.
+    most_miss: float | None = None
     #: Relative miss of all targets at which the passes end.
     tolerance: float = 1e-4
 
@@ -114,10 +121,8 @@ def learn_lexicon(words: DataFrame, scratch: Scratch) -> dict[str, list[str]]:
     # Chernoff bound of so many hits by chance, for all tested words together
     surprise = docs * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
     good = rated.where((docs - hits <= COMMON_SHARE * (n - m)) & (share > base) & (surprise >= F.log(F.col("tested") / CHANCE))).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
-    # scopes take their words by turn, so no language is crowded out
-    turn = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc(hits * F.log("lift")), "word"))
     out: dict[str, list[str]] = {}
-    for r in good.select("scope", "word", turn.alias("turn")).orderBy("turn", "scope").limit(LEXICON_WORDS).collect():
+    for r in good.select("scope", "word").orderBy("scope", "word").collect():
         out.setdefault(r["scope"], []).append(r["word"])
     return out
 
@@ -145,7 +150,7 @@ def posterior_columns(classes: Sequence[str], counts: Sequence, names: Sequence[
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, classes: Sequence[str], scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, tokens, p_<class>...) of each row of docs, written; the row's id passes through."""
+    """(row_id, text_hash, tokens, p_<class>...) of each row of docs, written; the row's id passes through."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # without a column of languages all words are of one scope
     language = (F.col(f"`{LANGUAGE}`") if LANGUAGE in docs.columns else F.lit(None)).cast("string")
@@ -161,19 +166,19 @@ def posteriors(docs: DataFrame, labels: DataFrame, classes: Sequence[str], scrat
     binned = labelled.select("domain", *[c.alias(n) for n, c in of.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("bin")) for n in of]))
     counts = binned.select("domain", pairs.alias("f")).groupBy("domain", "f.feature", "f.bin").agg(F.count("*").alias("n")).collect()
-    split = rows.select("row_id", "language", "words", word_array(F.col("words")).alias("split"), F.size(F.array_remove(F.split("words", "[ \t-\r]+"), "")).cast("long").alias("tokens"))
-    binned = split.select("row_id", "tokens", *[c.alias(n) for n, c in of.items()])
+    split = rows.select("row_id", F.xxhash64("words").alias("text_hash"), "language", "words", word_array(F.col("words")).alias("split"), F.size(F.array_remove(F.split("words", "[ \t-\r]+"), "")).cast("long").alias("tokens"))
+    binned = split.select("row_id", "text_hash", "tokens", *[c.alias(n) for n, c in of.items()])
     p = posterior_columns(classes, counts, list(of))
-    return scratch.keep(binned.select("row_id", "tokens", *[c.alias(f"p_{n}") for n, c in zip(classes, p, strict=True)]), "posteriors")
+    return scratch.keep(binned.select("row_id", "text_hash", "tokens", *[c.alias(f"p_{n}") for n, c in zip(classes, p, strict=True)]), "posteriors")
 
 
-def rate_column(steps: Sequence[Sequence[float]], classes: Sequence[str], most: float) -> Column:
-    """Rates after the given steps from 1."""
+def rate_column(steps: Sequence[Sequence[float]], classes: Sequence[str], most: float, steady: float = 0.0) -> Column:
+    """Rates after the given steps from 1; those that end as near to it as ``steady`` are 1."""
     rate = F.lit(1.0)
     for step in steps:
         move = sum((F.col(f"p_{c}") * F.lit(float(z)) for c, z in zip(classes, step, strict=True)), F.lit(0.0))
         rate = F.least(F.greatest(rate - move, F.lit(0.0)), F.lit(most))
-    return F.when(F.col("tokens") > 0, rate).otherwise(F.lit(0.0))
+    return F.when(F.col("tokens") > 0, F.when(F.abs(rate - 1) <= steady, F.lit(1.0)).otherwise(rate) if steady else rate).otherwise(F.lit(0.0))
 
 
 def fit_rates(table: DataFrame, classes: Sequence[str], targets: Targets) -> tuple[Column, dict]:
@@ -210,21 +215,29 @@ def fit_rates(table: DataFrame, classes: Sequence[str], targets: Targets) -> tup
             break
         steps.append(tried[best].tolist())
         reached = got[best]
-    return rate_column(steps, classes, targets.max_rate), {"steps": steps, "goal": goal.tolist(), "reached": reached.tolist(), "miss": miss(reached)}
+    rate = rate_column(steps, classes, targets.max_rate, targets.steady)
+    if steps and targets.steady:
+        reached = np.array(table.agg(*[F.coalesce(F.sum(tokens * F.col(n) * rate), F.lit(0.0)).alias(n) for n in names]).first(), float)
+    return rate, {"steps": steps, "goal": goal.tolist(), "reached": reached.tolist(), "miss": miss(reached)}
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, tokens, p_<class>..., rate, copies) of each row of docs. copies: the rate rounded up or down
-    by a hash of the id, so that it is the rate on average but for rates near 1. Runs at once; the result is a written table."""
+    """(row_id, text_hash, tokens, p_<class>..., rate, copies, miss) of each row of docs. copies: the rate rounded
+    up or down by a hash of the id, so that it is the rate on average; miss: the greatest miss of a domain's
+    target by the rates, relative to all targets. Runs at once; the result is a written table."""
     targets = targets or Targets()
     classes = sorted(targets.weights)
     scratch = Scratch(docs.sparkSession, "mixing")
     table = posteriors(docs, labels, classes, scratch, id_col, text_col)
-    rate, _ = fit_rates(table, classes, targets)
+    rate, fit = fit_rates(table, classes, targets)
+    if fit["miss"] > targets.tolerance:
+        LOG.warning("targets are missed by %.4f: %s for %s of %s", fit["miss"], fit["reached"], fit["goal"], classes)
+    if targets.most_miss is not None and fit["miss"] > targets.most_miss:
+        scratch.drop()
+        raise ValueError(f"targets are missed by {fit['miss']:.4f}: {fit['reached']} for {fit['goal']} of {classes}")
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col("row_id")), F.lit(1 << 30)) / float(1 << 30)
-    steady = F.abs(F.col("rate") - 1) <= targets.steady
-    copies = F.when(steady, F.lit(1)).otherwise(F.floor(F.col("rate") + chance)).cast("long")
-    rated = table.withColumn("rate", F.round(rate, 6)).withColumn("copies", copies)
+    rated = table.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    rated = rated.withColumn("rate", F.round("rate", 6)).withColumn("miss", F.lit(round(fit["miss"], 9)))
     out = Scratch(docs.sparkSession, "mixing_result").keep(rated, "rows")
     scratch.drop()
     return out
@@ -233,7 +246,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Targets | None = N
 def mixed(docs: DataFrame, labels: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, each as often as its copies say; same columns."""
     rates = mixing_rates(docs, labels, targets, id_col, text_col)
-    by_id = rates.groupBy(F.col("row_id").alias("__row_id")).agg(F.max("copies").alias("__copies")).where("__copies <> 1")
-    joined = docs.join(by_id, F.col(f"`{id_col}`").eqNullSafe(F.col("__row_id")), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
+    # equal rows have equal copies, so any of theirs will do
+    by_row = rates.groupBy(F.col("row_id").alias("__row_id"), F.col("text_hash").alias("__text_hash")).agg(F.max("copies").alias("__copies")).where("__copies <> 1")
+    own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    joined = docs.join(by_row, F.col(f"`{id_col}`").eqNullSafe(F.col("__row_id")) & (own == F.col("__text_hash")), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
     repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.when(F.col("__copies") > 0, F.col("__copies").cast("int")))))
-    return repeated.drop("__copy", "__copies", "__row_id")
+    return repeated.drop("__copy", "__copies", "__row_id", "__text_hash")

@@ -67,7 +67,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rates.withColumnRenamed("row_id", "doc_id")
+    return rates.withColumnRenamed("row_id", "doc_id").drop("text_hash")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

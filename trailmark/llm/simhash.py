@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.llm.components import connected_components, local_roots
+from trailmark.llm.components import connected_components, local_roots, only_first
 from trailmark.llm.scratch import Scratch
 from trailmark.llm.words import slices, utf8
 
@@ -217,10 +217,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their component; same columns. Rows of one id are one document."""
+    """The rows of docs that are the first of their component; same columns. Rows of one id are one document,
+    and of a component without ids one row stays."""
     found = simhash_components(docs, id_col, text_col)
-    later = found.where("id <> component_id").select(F.col("id").alias("__later")).distinct()
-    return docs.join(later, F.col(f"`{id_col}`") == F.col("__later"), "left_anti")
+    # fingerprints are linked by what texts say, so a text's component is that of any row with it
+    texts = docs.select(fingerprint_column(F.col(f"`{text_col}`")).alias("fp"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text_hash")).distinct()
+    of = found.groupBy("fp").agg(F.min("component_id").alias("component_id"))
+    rows = texts.join(of, "fp")
+    least = rows.where("component_id IS NULL").groupBy("fp").agg(F.min("text_hash").alias("first_hash"))
+    return only_first(docs, rows.join(least, "fp", "left"), id_col, text_col)
 
 
 def hex16(fp: Column) -> Column:

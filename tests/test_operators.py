@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -203,3 +204,36 @@ def test_first_cell(spark):
     rows = spark.createDataFrame([(1, [(2.9, -3.5)]), (2, []), (3, None), (4, [(5.0, 1.0), (1.5, 9.0)])], "id long, cells array<struct<n:double,e:double>>")
     got = {r["id"]: (r["n"], r["e"]) for r in spatial.first_cell(rows, "cells").collect()}
     assert got == {1: (2, -3), 2: (None, None), 3: (None, None), 4: (1, 9)}
+
+
+def test_prism_spans_are_the_cells_of_both_circles(spark):
+    r = random.Random(8)
+    rows = [(k, r.randrange(-9, 9), r.randrange(-9, 9), r.randrange(-9, 9), r.randrange(-9, 9), float(r.choice([0, 50, 100, 123, 250, 500, 641])), float(r.choice([0, 50, 150, 300, 500]))) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, n0 int, e0 int, n1 int, e1 int, r0 double, r1 double")
+    got = {tuple(x) for x in spatial.prism(df, 50.0).select("k", "n", "e").collect()}
+    inside = lambda n, e, a, b, radius: ((n - a) * 50) ** 2 + ((e - b) * 50) ** 2 <= radius**2
+    want = {(k, n, e) for k, n0, e0, n1, e1, r0, r1 in rows for n in range(-25, 26) for e in range(-25, 26) if inside(n, e, n0, e0, r0) and inside(n, e, n1, e1, r1)}
+    assert got == want
+
+
+def test_shared_minutes(spark):
+    from trailmark.plans import prisms
+
+    person = spark.createDataFrame([("p", 1, 0, 0, 4), ("p", 2, 0, 0, 4), ("p", 3, 5, 1, 1)], "trip string, minute int, n int, lo int, hi int")
+    bus = spark.createDataFrame([("r", "b", 1, 0, 4, 9), ("r", "b", 2, 0, 5, 9), ("r", "b", 3, 4, 1, 1), ("r", "c", 3, 5, 0, 9), ("r", "c", 3, 5, 1, 2)], "route string, bus_trip string, minute int, n int, lo int, hi int")
+    got = sorted(tuple(x) for x in prisms.shared_minutes(person, bus).collect())
+    assert got == [("p", "r", "b", 1), ("p", "r", "c", 3)]
+
+
+def test_nearest_node_without_nodes_is_an_error(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "p int, x double, y double")
+    with pytest.raises(ValueError):
+        spatial.nearest_node(points, spark.createDataFrame([], "q int, x double, y double"), "p", "q", 10.0, rings=2)
+
+
+def test_previous_id_across_holes(spark):
+    from trailmark.queries.more import previous
+
+    ids = [1, 2, 5, 999, 1000, 4000, 4002]
+    got = sorted(tuple(x) for x in previous(spark.createDataFrame([(k,) for k in ids], "id long")).collect())
+    assert got == list(zip(ids[1:], ids[:-1]))

@@ -34,13 +34,28 @@ def within_radius(points: DataFrame, cells: DataFrame, radius: float, size: floa
     return near.join(cells.select(F.col(n).alias("cell_n"), F.col(e).alias("cell_e")), ["cell_n", "cell_e"], "left_semi")
 
 
-def prism(rows: DataFrame, size: float, most: int, n0: str = "n0", e0: str = "e0", n1: str = "n1", e1: str = "e1", r0: str = "r0", r1: str = "r1") -> DataFrame:
-    """rows exploded to the cells (n, e) that are within r0 of the first cell and r1 of the second; indices are
-    integers, radii in metres, ``most`` the largest radius in cells."""
-    box = lambda a, r: F.sequence(F.col(a) - F.least(F.floor(F.col(r) / size), F.lit(most)).cast("int"), F.col(a) + F.least(F.floor(F.col(r) / size), F.lit(most)).cast("int"))
-    small = rows.withColumn("n", F.explode(box(n0, r0))).withColumn("e", F.explode(box(e0, r0)))
-    d = lambda a, b: F.pow((F.col("n") - F.col(a)) * size, 2) + F.pow((F.col("e") - F.col(b)) * size, 2)
-    return small.where((d(n0, e0) <= F.pow(r0, F.lit(2))) & (d(n1, e1) <= F.pow(r1, F.lit(2))))
+def prism_spans(rows: DataFrame, size: float, n0: str = "n0", e0: str = "e0", n1: str = "n1", e1: str = "e1", r0: str = "r0", r1: str = "r1") -> DataFrame:
+    """rows with the cells that are within r0 of the first cell and r1 of the second, as a run (n, lo, hi) of
+    columns lo to hi for each row of cells that both circles share. Indices are integers, radii in metres."""
+    reach = lambda r: F.floor(F.col(r) / size).cast("long")
+    first, last = F.greatest(F.col(n0) - reach(r0), F.col(n1) - reach(r1)), F.least(F.col(n0) + reach(r0), F.col(n1) + reach(r1))
+    cut = rows.withColumn("__first", first.cast("long")).withColumn("__last", last.cast("long")).where("__first <= __last")
+    cut = cut.withColumn("n", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
+
+    def half(n: str, r: str) -> Column:
+        """Cells on each side that are within the circle; the root's rounding is put right by the exact test."""
+        beside = lambda k: F.pow((F.col("n") - F.col(n)) * size, 2) + F.pow(k * size, 2) <= F.pow(r, F.lit(2))
+        root = F.floor(F.sqrt(F.greatest(F.pow(r, F.lit(2)) - F.pow((F.col("n") - F.col(n)) * size, 2), F.lit(0.0))) / size)
+        return F.when(beside(root + 1), root + 1).when(beside(root), root).otherwise(root - 1).cast("long")
+
+    wide = cut.withColumn("__h0", half(n0, r0)).withColumn("__h1", half(n1, r1))
+    wide = wide.withColumn("lo", F.greatest(F.col(e0) - F.col("__h0"), F.col(e1) - F.col("__h1"))).withColumn("hi", F.least(F.col(e0) + F.col("__h0"), F.col(e1) + F.col("__h1")))
+    return wide.where("__h0 >= 0 AND __h1 >= 0 AND lo <= hi").drop("__h0", "__h1")
+
+
+def prism(rows: DataFrame, size: float, n0: str = "n0", e0: str = "e0", n1: str = "n1", e1: str = "e1", r0: str = "r0", r1: str = "r1") -> DataFrame:
+    """rows exploded to the cells (n, e) of prism_spans()."""
+    return prism_spans(rows, size, n0, e0, n1, e1, r0, r1).withColumn("e", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
 
 
 def in_ellipse(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column, elapsed: Column, stationary: Column, speed: float) -> Column:
@@ -49,25 +64,27 @@ def in_ellipse(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Col
     return leg(x1, y1) + leg(x2, y2) <= (elapsed - stationary) * speed
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, bucket: float, rings: int = 1) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, bucket: float, rings: int = 30) -> DataFrame:
     """Each point with its nearest node (least id on a tie) by buckets of the plane. A point whose nearest
-    node in reach may not be the nearest of all is searched again with twice the buckets."""
+    node in reach may not be the nearest of all is searched again with twice the buckets; points that no ring
+    settles are an error. Nodes, the small side, are sent to the buckets around them, points to their own."""
     from trailmark.sources.folders import Kept
 
     kept, found, size = Kept(points.sparkSession, "nearest"), None, bucket
     left = points
     for k in range(rings):
         b = lambda c, s=size: F.floor(F.col(c) / s)
-        near = left.withColumn("__bx", F.explode(F.sequence(b("x") - 1, b("x") + 1))).withColumn("__by", F.explode(F.sequence(b("y") - 1, b("y") + 1)))
-        other = nodes.select(F.col(node_id), F.col("x").alias("node_x"), F.col("y").alias("node_y"), F.floor(F.col("x") / size).alias("__bx"), F.floor(F.col("y") / size).alias("__by"))
+        near = left.withColumn("__bx", b("x")).withColumn("__by", b("y"))
+        other = nodes.select(F.col(node_id), F.col("x").alias("node_x"), F.col("y").alias("node_y"))
+        other = other.withColumn("__bx", F.explode(F.sequence(b("node_x") - 1, b("node_x") + 1))).withColumn("__by", F.explode(F.sequence(b("node_y") - 1, b("node_y") + 1)))
         d = F.sqrt(F.pow(F.col("x") - F.col("node_x"), 2) + F.pow(F.col("y") - F.col("node_y"), 2))
         best = near.join(other, ["__bx", "__by"]).withColumn("distance", d).groupBy(point_id).agg(F.min_by(F.struct(node_id, "node_x", "node_y", "distance"), F.struct("distance", node_id)).alias("best"))
         sure = kept.write(best.where(F.col("best.distance") <= size).select(point_id, f"best.{node_id}", "best.node_x", "best.node_y", "best.distance"), f"ring{k}")
         found = sure if found is None else found.unionByName(sure)
         left, size = kept.write(left.join(sure, point_id, "left_anti"), f"left{k}"), size * 2
         if left.isEmpty():
-            break
-    return found
+            return found
+    raise ValueError(f"points without a node within {size / 2}")
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:

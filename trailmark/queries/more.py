@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.operators import activity, fits, graph, intervals, series, text, transit
@@ -13,8 +14,6 @@ from trailmark.queries.series import DWELLS_SQL, GAPS_SQL, MOVES_SQL, PATHS_SQL,
 
 @query("w10_start_propagation", f"WITH {PTS}, m AS (SELECT *, CASE WHEN zone IS DISTINCT FROM lag(zone) {BY} THEN 1 ELSE 0 END AS new FROM pts), r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT event_id, min(ts) OVER (PARTITION BY id, run) AS start_time FROM r")
 def w10(spark, sf):
-    from pyspark.sql import Window as W
-
     runs = series.with_runs(points(spark, sf), "id", F.col("zone"), ["ts", "event_id"])
     return runs.select("event_id", F.min("ts").over(W.partitionBy("id", "run")).alias("start_time"))
 
@@ -65,13 +64,21 @@ def x11(spark, sf):
     return text.cosine_pairs(w.join(subset, "id", "left_semi"), "id").withColumn("score", F.round("score", 6))
 
 
+def previous(ids, block: int = 1000):
+    """(a, b): each id with the present one before it. Only the greatest id of each block of numbers meets the
+    others in one task."""
+    rows = ids.withColumn("block", F.floor(F.col("id") / block))
+    within = F.lag("id").over(W.partitionBy("block").orderBy("id"))
+    tops = rows.groupBy("block").agg(F.max("id").alias("top")).select("block", F.lag("top").over(W.orderBy("block")).alias("top"))
+    return rows.withColumn("b", within).join(tops, "block").select(F.col("id").alias("a"), F.coalesce("b", "top").alias("b")).where("b IS NOT NULL")
+
+
 @query("x12_pairwise_corpora", f"""WITH {PTS}, b AS (SELECT id, unnest(string_split(event_type || ' z' || zone, ' ')) AS term FROM pts), pr AS (SELECT id AS i, lag(id) OVER (ORDER BY id) AS j FROM (SELECT DISTINCT id FROM b) QUALIFY j IS NOT NULL), tok AS (SELECT i, j, id, term FROM pr JOIN b ON b.id IN (i, j)),
 tf AS (SELECT i, j, id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT i, j, term, count(*) AS df FROM tf GROUP BY ALL), w AS (SELECT i, j, id, term, tf * (ln(3.0 / (1 + df)) + 1) AS w FROM tf JOIN df USING (i, j, term)), x AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY i, j, id)) AS x FROM w)
 SELECT a.i, a.j, round(sum(a.x * b.x), 6) AS score FROM x a JOIN x b ON a.i = b.i AND a.j = b.j AND a.term = b.term AND a.id = a.i AND b.id = a.j GROUP BY ALL""")
 def x12(spark, sf):
     d = bags(spark, sf)
-    # each participant with the one of the number before; the events' participants are numbered without holes
-    pairs = d.select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).join(d.select(F.col("id").alias("b")), "b", "left_semi")
+    pairs = previous(d.select("id").distinct())
     docs = pairs.withColumn("id", F.explode(F.array("a", "b"))).join(d, "id")
     out = text.cosine_pairs(text.tfidf(docs, "id", "terms", ["a", "b"]), "id", ["a", "b"])
     return out.select("i", "j", F.round("score", 6).alias("score"))
@@ -82,7 +89,7 @@ SELECT id, count(*) AS cells FROM nb, range(-60, 61) a(dn), range(-60, 61) b(de)
 def t02(spark, sf):
     known = known_minutes(spark, sf)
     dwells = known.select("id").distinct().select("id", F.expr("TIMESTAMP_NTZ'2024-01-01 00:30:00'").alias("start_time"), F.expr("TIMESTAMP_NTZ'2024-01-01 01:30:00'").alias("end_time"))
-    return prisms.person_prisms(known, dwells, "id", "minute", 400.0, wander=True).groupBy("id").agg(F.count("*").alias("cells"))
+    return prisms.person_prism_spans(known, dwells, "id", "minute", 400.0, wander=True).groupBy("id").agg(transit.cell_count().alias("cells"))
 
 
 @query("t05_path_filled_minutes")
@@ -120,7 +127,7 @@ def c10(spark, sf):
 
 @query("c11_walking_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, count(*) AS cells FROM nb, range(-20, 21) a(dn), range(-20, 21) b(de) WHERE (h1 - h0 < 15 OR nb.n IS NOT NULL) AND (dn * dn + de * de) * 10000 <= power((h - h0) * 120, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 10000 <= power((h1 - h) * 120, 2) GROUP BY id")
 def c11(spark, sf):
-    return transit.prism_minutes(known_minutes(spark, sf), "id", "minute", 100.0, transit.VWALK).groupBy("id").agg(F.count("*").alias("cells"))
+    return transit.prism_minute_spans(known_minutes(spark, sf), "id", "minute", 100.0, transit.VWALK).groupBy("id").agg(transit.cell_count().alias("cells"))
 
 
 @query("m05_flat_tail", f"WITH {PTS} SELECT event_id, CASE WHEN k / 50.0 - 1 > 0 THEN -1e-12 ELSE k / 50.0 - 1 END AS slope FROM pts")

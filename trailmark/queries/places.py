@@ -52,7 +52,7 @@ def j16(spark, sf):
     w = ordered("id", "ts", "event_id")
     p = points(spark, sf).withColumn("n0", F.floor(F.col("k") / 5)).withColumn("e0", F.floor(F.col("value") / 5))
     p = p.select("event_id", "n0", "e0", F.lead("n0").over(w).alias("n1"), F.lead("e0").over(w).alias("e1"), F.lit(15.0).alias("r0"), F.lit(25.0).alias("r1")).where("n1 IS NOT NULL")
-    return spatial.prism(p, 5.0, 100).select("event_id", "n", "e")
+    return spatial.prism(p, 5.0).select("event_id", "n", "e")
 
 
 @query("t12_in_ellipse", f"WITH {PTS} SELECT event_id, sqrt(power(k - 20.0, 2) + power(value - 30.0, 2)) + sqrt(power(k - 60.0, 2) + power(value - 40.0, 2)) <= (40.0 - 5.0) * 2.0 AS inside FROM pts")
@@ -179,14 +179,31 @@ def a20(spark, sf):
     return each.where("s > 2").select("trip", "route", "bus_trip", F.round(F.col("h") / F.col("s"), 9).alias("share"))
 
 
-@query("t06_bus_prisms", f"""WITH {MAIN_SQL}, m AS (SELECT trip_id, CAST(substr(time, 1, 2) AS INTEGER) * 60 + CAST(substr(time, 4, 2) AS INTEGER) AS minute, any_value(CAST(floor(easting / 250) AS BIGINT)) AS e, min(CAST(floor(northing / 250) AS BIGINT)) AS n FROM main GROUP BY ALL),
-l AS (SELECT *, lead(minute) OVER w AS m1, lead(n) OVER w AS n1 FROM m WINDOW w AS (PARTITION BY trip_id ORDER BY minute)) SELECT trip_id, CAST(count(*) AS BIGINT) AS legs FROM l WHERE m1 IS NOT NULL GROUP BY trip_id""")
+# orders as bus trips whose stops are three minutes apart, at the places of their parts
+BUS_STOPS_SQL = """bs AS (SELECT l_orderkey AS trip_id, l_linenumber * 3 AS h, min((CAST(floor(p_partkey % 97 * 110.0 / 600) AS BIGINT), CAST(floor(p_size * 370.0 / 600) AS BIGINT))) AS c FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+bk AS (SELECT trip_id, h, c[1] AS n, c[2] AS e FROM bs), bsp AS (SELECT trip_id, unnest(generate_series(min(h), max(h))) AS h FROM bk GROUP BY trip_id), bkn AS (SELECT bsp.trip_id, bsp.h, n, e FROM bsp LEFT JOIN bk USING (trip_id, h)),
+bnb AS (SELECT trip_id, h, last_value(n IGNORE NULLS) OVER b AS n0, last_value(e IGNORE NULLS) OVER b AS e0, last_value(CASE WHEN n IS NOT NULL THEN h END IGNORE NULLS) OVER b AS h0, first_value(n IGNORE NULLS) OVER a AS n1, first_value(e IGNORE NULLS) OVER a AS e1, first_value(CASE WHEN n IS NOT NULL THEN h END IGNORE NULLS) OVER a AS h1
+ FROM bkn WINDOW b AS (PARTITION BY trip_id ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY trip_id ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+bcells AS (SELECT trip_id, h, n0 + dn AS n, e0 + de AS e FROM bnb, range(-18, 19) a(dn), range(-18, 19) b(de) WHERE (dn * dn + de * de) * 360000 <= power((h - h0) * 600, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 360000 <= power((h1 - h) * 600, 2))"""
+
+
+def bus_spans(spark, sf):
+    start = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
+    stops = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    stops = stops.select(F.col("l_orderkey").alias("trip_id"), F.timestamp_add("MINUTE", F.col("l_linenumber").cast("int") * 3, start).alias("minute"), F.floor(F.col("p_partkey") % 97 * 110.0 / 600).alias("n"), F.floor(F.col("p_size") * 370.0 / 600).alias("e"))
+    return transit.bus_prism_spans(stops, "trip_id", "minute", 600.0)
+
+
+@query("t06_bus_prisms", f"WITH {BUS_STOPS_SQL} SELECT trip_id, TIMESTAMP '2024-01-01' + to_minutes(h) AS minute, count(*) AS cells FROM bcells GROUP BY ALL")
 def t06(spark, sf):
-    _, bus = riders(spark, sf)
-    known = bus.groupBy("bus_trip", "minute").agg(F.min("n").alias("n"), F.min("e").alias("e"))
-    w = ordered("bus_trip", "minute")
-    legs = known.select("bus_trip", F.lead("minute").over(w).alias("m1")).where("m1 IS NOT NULL")
-    return legs.groupBy(F.col("bus_trip").alias("trip_id")).agg(F.count("*").alias("legs"))
+    return bus_spans(spark, sf).groupBy("trip_id", "minute").agg(transit.cell_count().alias("cells"))
+
+
+@query("t06_bus_prisms_of_weekday", f"WITH {BUS_STOPS_SQL} SELECT o_custkey % 50 AS route, n, e, count(*) AS minutes FROM bcells JOIN orders ON trip_id = o_orderkey WHERE dayofweek(o_orderdate) = 3 GROUP BY ALL")
+def t06_weekday(spark, sf):
+    trips = table(spark, sf, "orders").where(F.dayofweek("o_orderdate") == 4).select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 50).alias("route"))
+    cells = bus_spans(spark, sf).join(trips, "trip_id").select("route", "n", F.explode(F.sequence("lo", "hi")).alias("e"))
+    return cells.groupBy("route", "n", "e").agg(F.count("*").alias("minutes"))
 
 
 def known_minutes(spark, sf):
@@ -206,12 +223,12 @@ nb AS (SELECT id, h, n, last_value(n IGNORE NULLS) OVER b AS n0, last_value(e IG
 
 @query("t01_person_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, TIMESTAMP '2024-01-01' + to_minutes(h) AS minute, count(*) AS cells FROM nb, range(-20, 21) a(dn), range(-20, 21) b(de) WHERE (h1 - h0 < 15 OR nb.n IS NOT NULL) AND (dn * dn + de * de) * 10000 <= power((h - h0) * 120, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 10000 <= power((h1 - h) * 120, 2) GROUP BY ALL")
 def t01(spark, sf):
-    return transit.prism_minutes(known_minutes(spark, sf), "id", "minute", 100.0).groupBy("id", "minute").agg(F.count("*").alias("cells"))
+    return transit.prism_minute_spans(known_minutes(spark, sf), "id", "minute", 100.0).groupBy("id", "minute").agg(transit.cell_count().alias("cells"))
 
 
 @query("t03_unbounded_prisms", f"WITH {PTS}, {KNOWN_SQL} SELECT id, count(*) AS cells FROM nb, range(-60, 61) a(dn), range(-60, 61) b(de) WHERE (dn * dn + de * de) * 40000 <= power((h - h0) * 60, 2) AND (power(n0 + dn - n1, 2) + power(e0 + de - e1, 2)) * 40000 <= power((h1 - h) * 60, 2) GROUP BY id")
 def t03(spark, sf):
-    return transit.prism_minutes(known_minutes(spark, sf), "id", "minute", 200.0, speed=1.0, gap_minutes=None).groupBy("id").agg(F.count("*").alias("cells"))
+    return transit.prism_minute_spans(known_minutes(spark, sf), "id", "minute", 200.0, speed=1.0, gap_minutes=None).groupBy("id").agg(transit.cell_count().alias("cells"))
 
 
 @query("w25_dwell_cells", f"WITH {PTS}, {MOVES_SQL}, d AS (SELECT id, segment, start_time, end_time FROM moves WHERE trip_length = 1 AND duration > 3) SELECT event_id, coalesce(first_value(k // 10) OVER (PARTITION BY p.id, coalesce(CAST(segment AS VARCHAR), 'e' || event_id) ORDER BY ts), k // 10) AS n FROM pts p LEFT JOIN d ON p.id = d.id AND ts BETWEEN start_time AND end_time")
@@ -344,12 +361,15 @@ def m04(spark, sf):
     return points(spark, sf).select("event_id", F.round(fits.segment_area(F.col("value") + 1, slope, F.lit(100.0)), 2).alias("area"))
 
 
-@query("m06_quadratic", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
+# the logarithm is exactly 2 + 3 x - x^2 / 2, a bell curve of mean 3 and deviation 1
+@query("m06_gaussian_tail", "SELECT c_nationkey, 2.0 AS a, 3.0 AS b, -0.5 AS c, round(exp(6.5), 2) AS scale, 3.0 AS mu, 1.0 AS sigma FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_acctbal) > 2")
 def m06(spark, sf):
-    c = table(spark, sf, "customer").withColumn("y", 2.0 + 3.0 * F.col("c_acctbal") / 1000 - 0.5 * F.pow(F.col("c_acctbal") / 1000, 2)).withColumn("x", F.col("c_acctbal") / 1000)
-    q = fits.quadratic(c, ["c_nationkey"], "x", "y")
-    good = q.where((F.abs(F.col("a") - 2) < 1e-6) & (F.abs(F.col("b") - 3) < 1e-6) & (F.abs(F.col("c") + 0.5) < 1e-6)).select("c_nationkey")
-    return c.join(good, "c_nationkey", "left_semi").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    x = F.col("c_acctbal") / 1000
+    c = table(spark, sf, "customer").select("c_nationkey", x.alias("x"), (2.0 + 3.0 * x - 0.5 * F.pow(x, 2)).alias("y"))
+    enough = c.groupBy("c_nationkey").agg(F.countDistinct("x").alias("n")).where("n > 2")
+    q = fits.quadratic(c.join(enough, "c_nationkey", "left_semi"), ["c_nationkey"], "x", "y")
+    out = q.join(fits.gaussian_tail(q, ["c_nationkey"]), "c_nationkey")
+    return out.select("c_nationkey", *[F.round(n, 2 if n == "scale" else 5).alias(n) for n in ("a", "b", "c", "scale", "mu", "sigma")])
 
 
 @query("m07_smoothed_peak", f"WITH {PTS}, {HIST_SQL}, r AS (SELECT id, bin, CASE WHEN count(*) OVER w = 3 THEN avg(n) OVER w END AS s FROM hist WINDOW w AS (PARTITION BY id ORDER BY bin ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), p AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY bin) AS a, lead(s) OVER (PARTITION BY id ORDER BY bin) AS b FROM r) SELECT id, arg_min(bin, (-s, bin)) AS bin, round(max(s), 6) AS n FROM p WHERE s > a AND s > b GROUP BY id")

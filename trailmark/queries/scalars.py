@@ -39,9 +39,9 @@ def s18(spark, sf):
 
 
 @query("s05_first_last_sample", f"""WITH {PTS}, p AS (SELECT event_id, id, ts, k, value FROM pts WHERE k > 0 AND value > 0)
-SELECT * FROM (SELECT * FROM p ORDER BY ts, event_id LIMIT 1000) UNION ALL SELECT * FROM (SELECT * FROM p ORDER BY ts DESC, event_id DESC LIMIT 1000)""")
+SELECT * FROM (SELECT * FROM p ORDER BY ts, event_id LIMIT 10000) UNION ALL SELECT * FROM (SELECT * FROM p ORDER BY ts DESC, event_id DESC LIMIT 10000)""")
 def s05(spark, sf):
-    return folders.first_and_last(points(spark, sf).where("k > 0 AND value > 0").select("event_id", "id", "ts", "k", "value"), ["ts", "event_id"], 1000)
+    return folders.first_and_last(points(spark, sf).where("k > 0 AND value > 0").select("event_id", "id", "ts", "k", "value"), ["ts", "event_id"], 10000)
 
 
 @query("s07_id_range", "SELECT DISTINCT user_id AS id FROM events WHERE user_id > 20 AND user_id < 90")

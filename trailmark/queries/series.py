@@ -251,12 +251,12 @@ def w11(spark, sf):
     return visited(spark, sf)
 
 
-SPOTS_SQL = "spots AS (SELECT id, zone, round(avg(k), 6) AS centroid_x, round(avg(value), 6) AS centroid_y FROM pts WHERE zone % 100 < 2 GROUP BY id, zone)"
+SPOTS_SQL = "spots AS (SELECT id, zone, round(avg(k), 6) AS centroid_x, round(avg(value), 6) AS centroid_y FROM pts GROUP BY id, zone)"
 
 
 def spots(spark, sf):
-    """Centres of the zones that are hotspots; other zones have none."""
-    return points(spark, sf).where("zone % 100 < 2").groupBy("id", "zone").agg(F.round(F.avg("k"), 6).alias("centroid_x"), F.round(F.avg("value"), 6).alias("centroid_y"))
+    """Centres of the zones."""
+    return points(spark, sf).groupBy("id", "zone").agg(F.round(F.avg("k"), 6).alias("centroid_x"), F.round(F.avg("value"), 6).alias("centroid_y"))
 
 
 @query("j10_snap_to_visit", f"WITH {PTS}, {VISITS_SQL}, {SPOTS_SQL} SELECT event_id, coalesce(centroid_x, k) AS x, coalesce(centroid_y, value) AS y FROM pts p LEFT JOIN (SELECT v.id, start_time, stop_time, centroid_x, centroid_y FROM visits v JOIN spots USING (id, zone)) v ON p.id = v.id AND ts BETWEEN start_time AND stop_time")

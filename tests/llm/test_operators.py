@@ -618,6 +618,15 @@ def test_many_languages(spark):
     assert all(g["lang"] == f"l{g['doc_id']:03d}" for g in got)
 
 
+def test_full_table_and_lists_of_trigrams_agree(spark, monkeypatch):
+    table = spark.createDataFrame([(1, "the house and garden", "en"), (2, "la maison et le jardin", "fr"), (3, "дом и сад", "ru")], "doc_id long, text string, lang string")
+    model = langid.train(table)
+    words = ["the", "maison", "дом", "xyz", "é", "a"]
+    full = langid.ScoredWords(model).of(words)
+    monkeypatch.setattr(langid, "TABLE_CELLS", 0)
+    assert np.allclose(langid.ScoredWords(model).of(words), full)
+
+
 def test_held_out_accuracy(spark):
     from trailmark.llm import queries
 

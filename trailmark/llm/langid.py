@@ -51,8 +51,9 @@ SAMPLE_TEXTS, MOST_LANGUAGES = 1500, 4096
 SWITCH = 6.0
 #: Share of a language's letters that a script needs to be one of the language's.
 SCRIPT_SHARE = 0.01
-#: Words whose scores a worker keeps, and characters of text in work at a time.
-CACHED_WORDS, BLOCK_CHARS = 200_000, 1 << 20
+#: Words whose scores a worker keeps, characters of text in work at a time, and cells up to which a worker
+#: holds the model as a full table of trigrams and languages.
+CACHED_WORDS, BLOCK_CHARS, TABLE_CELLS = 200_000, 1 << 20, 1 << 22
 LABEL = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("lang", T.StringType())]))),
@@ -68,7 +69,9 @@ def numerals() -> str:
 
 #: Letters; the combining marks of several scripts may follow the first.
 LETTER = r"\W\d_" + numerals()
-WORD = re.compile(rf"[^{LETTER}](?:[^{LETTER}]|[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])*")
+MARKS = r"[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]"
+#: Plain letters are tried first, as they are the quickest to tell.
+WORD = re.compile(rf"(?:[A-Za-z]++|[^{LETTER}])++(?:{MARKS}++[^{LETTER}]*+)*+")
 
 
 def script_of(letter: str) -> str:
@@ -196,6 +199,10 @@ class ScoredWords:
     def __init__(self, model: dict):
         self.model, self.number, self.script = model, {}, {}
         self.scores = np.zeros((0, len(model["langs"])))
+        self.table = None
+        if (len(model["keys"]) + 1) * len(model["langs"]) <= TABLE_CELLS:
+            self.table = np.zeros((len(model["keys"]) + 1, len(model["langs"])))
+            self.table[np.repeat(np.arange(len(model["keys"])), np.diff(model["starts"])), model["lang"]] = model["gain"]
 
     def penalty(self, letter: str) -> np.ndarray:
         """What the languages that do not use the letter's script lose."""
@@ -209,12 +216,17 @@ class ScoredWords:
         keys, begin = gram_keys(words)
         sizes = np.diff(np.append(begin, len(keys)))
         place = np.minimum(np.searchsorted(model["keys"], keys), max(0, len(model["keys"]) - 1))
-        known = np.flatnonzero(model["keys"][place] == keys) if len(model["keys"]) else np.zeros(0, np.int64)
+        found = model["keys"][place] == keys if len(model["keys"]) else np.zeros(len(keys), bool)
+        other = sizes[:, None] * model["unseen"] + np.array([self.penalty(w[0]) for w in words])
+        if self.table is not None:
+            place[~found] = len(self.table) - 1
+            return np.add.reduceat(self.table[place], begin) + other
+        known = np.flatnonzero(found)
         first, count = model["starts"][place[known]], np.diff(model["starts"])[place[known]]
         entry = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         word = np.repeat(np.repeat(np.arange(len(words)), sizes)[known], count)
         gain = np.bincount(word * n + model["lang"][entry], model["gain"][entry], len(words) * n).reshape(-1, n)
-        return gain + sizes[:, None] * model["unseen"] + np.array([self.penalty(w[0]) for w in words])
+        return gain + other
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.number) > CACHED_WORDS:

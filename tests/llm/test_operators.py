@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trailmark.llm import components, decontaminate, langid, mixing, pii, quality, sharding, simhash, substring_dedup, training_order, warc
+from trailmark.llm import components, decontaminate, langid, mixing, near_duplicates, pii, quality, sharding, simhash, substring_dedup, training_order, warc
 from trailmark.llm.scratch import Scratch, hashes_to
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, id string, fp string, words string"
@@ -665,3 +665,47 @@ def test_language(spark):
     assert [(s["lang"], text[s["start"] : s["stop"]].split()[0]) for s in got[7]["spans"]] == [("en", "the"), ("fr", "la")]
     assert langid.with_language(make(spark, []), train).count() == 0
     assert {g["language"]["lang"] for g in langid.with_language(make(spark, rows), train.limit(0)).collect()} == {"und"}
+
+
+# --- near duplicates
+
+
+def test_equal_values_of_codes():
+    r = np.random.default_rng(2)
+    a, b = (r.integers(0, 1 << 32, (200, 16), dtype=np.uint64).astype(np.uint32) for _ in range(2))
+    b[:50] = a[:50]
+    b[50:100, :8] = a[50:100, :8]
+    want = [sum((int(x) >> s & 15) == (int(y) >> s & 15) for x, y in zip(u, v, strict=True) for s in range(0, 32, 4)) for u, v in zip(a, b, strict=True)]
+    assert near_duplicates.equal_values(a, b).tolist() == want
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """A large group whose copies are near its first text, but not near each other, beside other texts."""
+    r = random.Random(6)
+    base = [f"b{k}" for k in range(60)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        w = list(base)
+        for at in r.sample(range(5, 55), r.randrange(1, 4)):
+            w[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [prose(60, k) for k in range(40)] + [prose(60, 1), "", ""]
+    rows = list(enumerate(texts, 10))
+    sets = [set(near_duplicates.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {x["doc_id"] for x in near_duplicates.keep_first(make(spark, rows)).collect()}
+    assert got == {10 + find(k) for k in range(len(texts))}
+    alone = near_duplicates.keep_first(make(spark, [(None, texts[0]), (None, texts[0]), (None, prose(60, 3)), (7, prose(60, 3)), (8, None), (9, "")]))
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in alone.collect()) == [(0, texts[0]), (7, prose(60, 3)), (8, "")]
+    assert near_duplicates.keep_first(make(spark, [])).count() == 0

@@ -14,8 +14,10 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own where none is set."""
+    """The shared folder of the session. Where none is set, one of our own on one machine, else an error."""
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
     return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 

@@ -679,6 +679,47 @@ def test_equal_values_of_codes():
     assert near_duplicates.equal_values(a, b).tolist() == want
 
 
+def test_bound_by_classes_loses_no_similar_sets():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 62, 150)
+    sets = [np.unique(np.concatenate([base[r.random(150) > p], r.integers(0, 1 << 62, int(150 * p))])) for p in r.uniform(0, 0.3, 80)] + [np.zeros(1, np.int64)]
+    counts = np.stack([np.bincount(x % near_duplicates.CLASSES, minlength=near_duplicates.CLASSES) for x in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    size = np.array([len(x) for x in sets])
+    true = common / (size[i] + size[j] - common) >= 0.8
+    left = near_duplicates.may_be_similar(counts, size, i, j, 0.8)
+    assert true.sum() > 100 and left[true].all() and left.sum() < len(left) / 2
+    assert not len(near_duplicates.may_be_similar(counts, size, i[:0], j[:0], 0.8))
+
+
+def test_near_duplicates_just_below_the_similarity(spark):
+    """A large group of copies that are contenders of each other and mostly below the similarity: few pairs leave a task."""
+    r = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    texts = []
+    for _ in range(200):
+        w = list(base)
+        for at in r.sample(range(150), 4):
+            w[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [near_duplicates.shingle_set(t) for t in texts]
+    drawn = [near_duplicates.sketch(x) for x in sets]
+    rows = [(near_duplicates.node_of(x), near_duplicates.node_of(x), k.tolist(), c.tolist()) for x, (k, c) in zip(sets, drawn, strict=True)]
+    nodes = spark.createDataFrame(rows, "node long, label long, keys array<long>, codes array<long>")
+    met = {x["node"] for x in near_duplicates.contenders(nodes).collect()}
+    held = spark.createDataFrame([(r[0], r[0], x.view(np.int64).tolist()) for r, x in zip(rows, sets, strict=True) if r[0] in met], "node long, label long, shingles array<long>")
+    counts = near_duplicates.supported_counts(held, 0.8)
+    pairs = {(x["u"], x["v"]) for x in near_duplicates.apart_candidates(nodes.join(counts, "node"), 0.8).collect()}
+    true = set()
+    for a in range(200):
+        for b in range(a):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if common / (len(sets[a]) + len(sets[b]) - common) >= 0.8:
+                true.add(tuple(sorted((rows[a][0], rows[b][0]))))
+    assert len(met) > 150 and true <= pairs and len(pairs) < len(true) + 2000
+
+
 def test_near_duplicates_against_brute_force(spark):
     """A large group whose copies are near its first text, but not near each other, beside other texts."""
     r = random.Random(6)

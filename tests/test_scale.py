@@ -3,12 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trailmark import catalog
 from trailmark.functions import scalar
-from trailmark.operators import spatial
+from trailmark.operators import spatial, text
 from trailmark.queries import places
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -55,3 +57,30 @@ def test_peaks_shuffle_places_only(spark):
     found = spatial.peaks(dens, "id")
     assert exchanges(found) <= 2 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r["id"], r["n"], r["e"]) for r in found.collect()} == {k for k, d in cells.items() if d >= max(near(*k))}
+
+
+def test_scores_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [(k, [f"w{min(int(v), 60)}" for v in rng.zipf(1.4, 12)]) for k in range(40)] + [(40, ["alone"]), (None, ["w1"])]
+    w = text.tfidf(spark.createDataFrame(docs, "doc long, terms array<string>"), "doc", "terms")
+    rows = [r for r in w.collect() if r["doc"] is not None]
+    of = {d: {r["term"]: r["weight"] for r in rows if r["doc"] == d} for d in range(41)}
+    want = {(i, j): sum(x * of[j][t] for t, x in of[i].items() if t in of[j]) for i in of for j in of if i > j and set(of[i]) & set(of[j])}
+    monkeypatch.setattr(text, "FEW_DOCS", 3)
+    got = {(r["i"], r["j"]): r["score"] for r in text.cosine_pairs(w, "doc").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    # a few scores and columns at a time
+    monkeypatch.setattr(text, "SCORES", 50)
+    monkeypatch.setattr(text, "DENSE", 8 * 41 * 2)
+    frame = pd.DataFrame([(r["doc"], hash(r["term"]), r["weight"]) for r in rows], columns=["doc", "term", "weight"])
+    found = {(i, j): s for a, b, c in text.all_scores(text.block_scores(frame, frame)) for i, j, s in zip(a, b, c, strict=True)}
+    assert set(found) == set(want) and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+PAIRS = ["x08_cosine"]
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_pairs_are_not_shuffled(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Exchange hash" not in plan[: plan.index("FlatMapGroupsInPandas")]

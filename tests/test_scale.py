@@ -84,3 +84,8 @@ PAIRS = ["x08_cosine", "g05_similarity_edges", "x11_subset_similarity"]
 def test_pairs_are_not_shuffled(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "Exchange hash" not in plan[: plan.index("FlatMapGroupsInPandas")]
+
+
+def test_degrees_find_pairs_once(spark):
+    plan = catalog.queries()["g04_degrees"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "Union" not in plan

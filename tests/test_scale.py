@@ -89,3 +89,8 @@ def test_pairs_are_not_shuffled(spark, name):
 def test_degrees_find_pairs_once(spark):
     plan = catalog.queries()["g04_degrees"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 1 and "Union" not in plan
+
+
+def test_traits_do_not_shuffle_pairs(spark):
+    plan = catalog.queries()["j21_similar_traits"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "Exchange hash" not in plan[: plan.index("FlatMapGroupsInPandas")]

@@ -117,3 +117,8 @@ def test_spans_by_brute_force_and_a_few_hits_at_a_time(spark, monkeypatch):
     trips = pd.DataFrame([(cell(*r[2:]), r[1], r[0], r[2]) for r in bus], columns=["cell", "id", "route", "minute"])
     out = pd.concat(list(transit.span_rows(people, trips, 2)))
     assert {(t, r, b): (h, s) for t, r, b, h, s in out.itertuples(index=False)} == want
+
+
+def test_bus_probability_shuffles_no_shared_minutes(spark):
+    plan = catalog.queries()["t09_bus_probability"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Join Inner" not in plan[: plan.index("FlatMapGroupsInPandas")]

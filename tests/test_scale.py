@@ -77,7 +77,7 @@ def test_scores_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
     assert set(found) == set(want) and all(found[k] == pytest.approx(want[k]) for k in want)
 
 
-PAIRS = ["x08_cosine", "g05_similarity_edges", "x11_subset_similarity"]
+PAIRS = ["x08_cosine", "g05_similarity_edges", "x11_subset_similarity", "j20_all_pairs"]
 
 
 @pytest.mark.parametrize("name", PAIRS)

@@ -679,6 +679,39 @@ def test_equal_values_of_codes():
     assert near_duplicates.equal_values(a, b).tolist() == want
 
 
+def test_codes_of_keys_meet_in_balls(monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 32, 12, dtype=np.uint64)
+    code = np.concatenate([b ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 32, (60, 2), dtype=np.uint64), axis=1) for b in base] + [base])
+    values = np.unique(near_duplicates.grouped(r.integers(0, 3, len(code)), code))
+    label = r.integers(0, 4, len(values))
+    near = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if values[i] >> np.uint64(32) == values[j] >> np.uint64(32) and int(values[i] ^ values[j]).bit_count() <= 3}
+    assert len(near) > 300
+    for most in (8192, 20):
+        monkeypatch.setattr(near_duplicates, "VALUES", most)
+        pairs = lambda found: {(min(a, b), max(a, b)) for i, j in found for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert pairs(near_duplicates.code_pairs(values, label, label)) == {(i, j) for i, j in near if label[i] != label[j]}
+        linked = pairs(near_duplicates.code_links(values))
+        assert linked <= near and {k for p in near for k in p} == {k for p in linked for k in p}
+    # texts of equal codes and of near ones, several of a code
+    node, group = np.arange(len(code)), r.integers(0, 2, len(code))
+    codes, label = np.zeros((len(code), 16), np.uint32), node % 5
+    want = {(i, j) for i in range(len(code)) for j in range(i) if group[i] == group[j] and label[i] != label[j] and int(code[i] ^ code[j]).bit_count() <= 3}
+    got = {(max(p, q), min(p, q)) for i, j in near_duplicates.apart(group, node, code.view(np.int64), label, codes) for p, q in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == want
+
+
+def test_pairs_that_do_not_agree_cost_no_set(spark):
+    r = np.random.default_rng(5)
+    a = r.integers(0, 1 << 32, 16)
+    fewer = a ^ np.where(np.arange(16) < 12, 0x11111111, 0)
+    enough = a ^ np.where(np.arange(16) < 5, 0x11111111, 0) ^ np.where(np.arange(16) == 5, 0x00111111, 0)
+    nodes = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate((a, fewer, enough))], "node long, codes array<long>")
+    assert near_duplicates.equal_values(*(np.stack([c.astype(np.uint32)]) for c in (a, enough))).tolist() == [82]
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "u long, v long")
+    assert {tuple(x) for x in near_duplicates.agreeing(pairs, nodes).collect()} == {(0, 2)}
+
+
 def test_bound_by_classes_loses_no_similar_sets():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 62, 150)

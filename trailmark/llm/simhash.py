@@ -155,8 +155,8 @@ def links(variant: np.ndarray, value: np.ndarray, radius: int = RADIUS) -> tuple
     return hub[true], value[true]
 
 
-def bucket_links(values: np.ndarray, bits: list[int], prefix: int, spare: list[int], most: int = MOST_VARIANTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """links() of all variants with the prefix, taken apart by further bits while there are too many."""
+def bucket_variants(values: np.ndarray, bits: list[int], prefix: int, spare: list[int], most: int = MOST_VARIANTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """variants() with the prefix, taken apart by further bits while there are too many."""
     if len(values) < 2:
         return
     mask, wanted = prefix_mask(bits, prefix)
@@ -167,9 +167,15 @@ def bucket_links(values: np.ndarray, bits: list[int], prefix: int, spare: list[i
             longer, sub = [*bits, spare[0]], prefix * 2 + bit
             mask, wanted = prefix_mask(longer, sub)
             near = np.bitwise_count((values ^ wanted) & mask)
-            yield from bucket_links(values[near <= np.where(is_odd, 1, 2)], longer, sub, spare[1:], most)
+            yield from bucket_variants(values[near <= np.where(is_odd, 1, 2)], longer, sub, spare[1:], most)
         return
-    yield links(*variants(values, bits, prefix))
+    yield variants(values, bits, prefix)
+
+
+def bucket_links(values: np.ndarray, bits: list[int], prefix: int, spare: list[int], most: int = MOST_VARIANTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """links() of all variants with the prefix, taken apart by further bits while there are too many."""
+    for emitted in bucket_variants(values, bits, prefix, spare, most):
+        yield links(*emitted)
 
 
 def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:

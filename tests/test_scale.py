@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark import catalog
 from trailmark.functions import scalar
-from trailmark.operators import spatial, text, transit
+from trailmark.operators import graph, spatial, text, transit
 from trailmark.queries import places
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -122,3 +122,21 @@ def test_spans_by_brute_force_and_a_few_hits_at_a_time(spark, monkeypatch):
 def test_bus_probability_shuffles_no_shared_minutes(spark):
     plan = catalog.queries()["t09_bus_probability"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "Join Inner" not in plan[: plan.index("FlatMapGroupsInPandas")]
+
+
+def test_raster_fills_are_whole_and_search_equal_ends_once(spark):
+    rng = np.random.default_rng(7)
+    ends = [tuple(map(int, x)) for x in rng.integers(0, 8, (12, 4))] + [(3, 3, 3, 3)]
+    gaps = [(int(rng.integers(-(1 << 63), 1 << 63)), *ends[k % 13], 1 + k % 5) for k in range(40)]
+    cost = {(n, e): 0.5 if (n + e) % 3 == 0 else 100.0 for n in range(-5, 20) for e in range(-5, 20)}
+    raster = spark.createDataFrame([(*c, v) for c, v in cost.items()], "n int, e int, cost double")
+    df = spark.createDataFrame(gaps, "gap_id long, n0 int, e0 int, n1 int, e1 int, missing int")
+    got = {(r["gap_id"], r["k"]): (r["n"], r["e"]) for r in graph.raster_fill(df, raster, 50.0, 3).collect()}
+    want = {}
+    for g, n0, e0, n1, e1, missing in gaps:
+        path = graph.raster_path(cost, (n0, e0), (n1, e1), (min(n0, n1) - 3, max(n0, n1) + 3, min(e0, e1) - 3, max(e0, e1) + 3))
+        for k, (n, e) in enumerate(graph.along(path, missing)[1:-1], 1):
+            want[g, k] = (round(n), round(e))
+    assert got == want
+    plan = graph.raster_fill(df, raster, 50.0, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(n0" in plan and not any("missing" in line for line in plan.splitlines() if "hashpartitioning(n0" in line)

@@ -84,10 +84,10 @@ def dijkstra(edges: dict[int, list[tuple[int, float]]], start: int, goal: int) -
 
 def raster_fill(gaps: DataFrame, raster: DataFrame, size: float, margin: int = 20, longest: float = LONGEST_SEARCH) -> DataFrame:
     """(gap_id, k, n, e): cells along a cheap path of each gap (gap_id, n0, e0, n1, e1, missing) with one for
-    every missing minute. Gaps of equal ends and length are searched once, each in its own clip of the raster
-    (n, e, cost), so no task holds all of it. Ends that are equal stay; ends too far apart are left out."""
+    every missing minute. Gaps of equal ends are searched once, whatever their length, each in its own clip of the
+    raster (n, e, cost), so no task holds all of it. Ends that are equal stay; ends too far apart are left out."""
     distance = F.sqrt(F.pow(F.col("n1") - F.col("n0"), 2) + F.pow(F.col("e1") - F.col("e0"), 2)) * size
-    once = gaps.where(distance <= longest).groupBy("n0", "e0", "n1", "e1", "missing").agg(F.min("gap_id").alias("search"))
+    once = gaps.where(distance <= longest).groupBy("n0", "e0", "n1", "e1").agg(F.min("gap_id").alias("search"))
     tile = 64
     reach = lambda a, b, f: F.floor(f(a, b) / tile)
     low = lambda a, b: F.least(a, b) - margin
@@ -97,15 +97,26 @@ def raster_fill(gaps: DataFrame, raster: DataFrame, size: float, margin: int = 2
     clip = tiles.join(cells, ["tn", "te"]).where((F.col("n") >= low("n0", "n1")) & (F.col("n") <= high("n0", "n1")) & (F.col("e") >= low("e0", "e1")) & (F.col("e") <= high("e0", "e1")))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        start, goal, missing = (int(r.n0), int(r.e0)), (int(r.n1), int(r.e1)), int(r.missing)
+        # column by column: a row of a frame with costs is of doubles, which hold no 64-bit id
+        one, n0, e0, n1, e1 = (int(pdf[c].iloc[0]) for c in ("search", "n0", "e0", "n1", "e1"))
+        start, goal = (n0, e0), (n1, e1)
         cost = dict(zip(zip(pdf["n"].tolist(), pdf["e"].tolist(), strict=True), pdf["cost"].tolist(), strict=True))
-        cells = [start] * (missing + 2) if start == goal else [(round(a), round(b)) for a, b in along(raster_path(cost, start, goal) or [start, goal], missing)]
-        return pd.DataFrame([(int(r.search), k, *c) for k, c in enumerate(cells[1:-1][:missing], 1)], columns=["search", "k", "n", "e"])
+        path = [start] if start == goal else raster_path(cost, start, goal) or [start, goal]
+        return pd.DataFrame({"search": [one], "pn": [[n for n, _ in path]], "pe": [[e for _, e in path]]})
 
-    found = clip.groupBy("search").applyInPandas(search, "search long, k int, n int, e int")
-    named = gaps.join(once, ["n0", "e0", "n1", "e1", "missing"]).select("gap_id", "search")
-    return named.join(found, "search").select("gap_id", "k", "n", "e")
+    def place(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for s, missing, pn, pe in zip(pdf["search"].tolist(), pdf["missing"].tolist(), pdf["pn"], pdf["pe"], strict=True):
+                cells = along(list(zip(pn, pe, strict=True)), missing)[1:-1][:missing]
+                rows.append((s, missing, [round(a) for a, _ in cells], [round(b) for _, b in cells]))
+            yield pd.DataFrame(rows, columns=["search", "missing", "ns", "es"])
+
+    found = clip.groupBy("search").applyInPandas(search, "search long, pn array<int>, pe array<int>")
+    named = gaps.join(once, ["n0", "e0", "n1", "e1"]).select("gap_id", "search", "missing")
+    placed = named.select("search", "missing").distinct().join(found, "search").mapInPandas(place, "search long, missing int, ns array<int>, es array<int>")
+    cells = F.posexplode(F.arrays_zip("ns", "es")).alias("k", "at")
+    return named.join(placed, ["search", "missing"]).select("gap_id", cells).select("gap_id", (F.col("k") + 1).alias("k"), F.col("at.ns").alias("n"), F.col("at.es").alias("e"))
 
 
 def road_paths(trips: DataFrame, edges: Iterable[tuple[int, int, float]], places: dict[int, tuple[float, float]], n_col: str = "points") -> DataFrame:

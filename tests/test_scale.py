@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark import catalog
 from trailmark.functions import scalar
-from trailmark.operators import graph, spatial, text, transit
+from trailmark.operators import communities, graph, spatial, text, transit
 from trailmark.queries import places
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -140,3 +140,53 @@ def test_raster_fills_are_whole_and_search_equal_ends_once(spark):
     assert got == want
     plan = graph.raster_fill(df, raster, 50.0, 3)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(n0" in plan and not any("missing" in line for line in plan.splitlines() if "hashpartitioning(n0" in line)
+
+
+class OneProcess:
+    """communities.Jobs without executors."""
+
+    def __init__(self, vectors):
+        self.vectors = vectors
+
+    def run(self, state, low, high, make, schema):
+        rows = list(make(self.vectors, state, low, high))
+        return rows if len(rows[0]) > 2 else [{"links": x} for _, x in rows]
+
+
+@pytest.mark.parametrize("small", [{}, {"HELD": 3}, {"HELD": 3, "BATCH": 20, "ROWS": 7, "COLUMNS": 16, "LARGE": 4, "LISTED": 2, "GROUPS": 5}, {"HELD": 3, "BATCH": 40, "DENSE": 0, "ROWS": 7, "COLUMNS": 16, "PIECE": 30}])
+def test_communities_are_those_of_all_edges(monkeypatch, small):
+    for k, v in small.items():
+        monkeypatch.setattr(communities, k, v)
+    rng = np.random.default_rng(11)
+    for above in (0.5, 0.8, 0.9):
+        x = rng.random((60, 6)) * (rng.random((60, 6)) < 0.6)
+        x = x[x.sum(1) > 0]
+        x = np.concatenate([x, x[:20]])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        score = np.floor(x @ x.T * 1e9 + 0.5) / 1e9
+        want = graph.louvain([(i, j, 1 - score[i, j]) for i in range(len(x)) for j in range(i) if score[i, j] > above])
+        terms = [np.flatnonzero(r) for r in x]
+        vectors = communities.Vectors([t.astype(np.int64).tobytes() for t in terms], [r[t].tobytes() for r, t in zip(x, terms, strict=True)], above)
+        of, degree = communities.partition(OneProcess(vectors))
+        assert {k: int(of[k]) for k in np.flatnonzero(degree > 0).tolist()} == want
+
+
+def test_communities_of_more_than_two_million_edges(spark, tmp_path, monkeypatch):
+    n = 2300
+    kinds = ["click", "view", "error", "signup", "purchase"]
+    rng = np.random.default_rng(2)
+    rows = [(u * 6 + k, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=k), u, kinds[int(c)] if k else "click", float(v), '{"k": 1}') for u in range(n) for k, (c, v) in enumerate(zip(rng.integers(0, 5, 6), rng.integers(0, 150, 6), strict=True))]
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    query = catalog.queries()["g04_communities"]
+    assert catalog.queries()["g05_similarity_edges"](spark, str(tmp_path)).count() > 2_000_000
+    got = {r["id"]: r["community"] for r in query(spark, str(tmp_path)).collect()}
+    assert len(got) == n
+    monkeypatch.setattr(communities, "HELD", n)
+    assert {r["id"]: r["community"] for r in query(spark, str(tmp_path)).collect()} == got
+
+
+def test_documents_without_edges_have_no_community(spark):
+    docs = spark.createDataFrame([(3, ["a"]), (5, ["a", "b"]), (9, ["c"]), (None, ["a"])], "doc long, terms array<string>")
+    w = text.tfidf(docs, "doc", "terms")
+    assert {r["id"]: r["community"] for r in communities.similar_communities(w, "doc", 0.5).collect()} == graph.louvain([(5, 3, 0.4)])
+    assert communities.similar_communities(w.where("doc > 9"), "doc", 0.5).collect() == []

@@ -162,16 +162,6 @@ def louvain(edges: list[tuple[int, int, float]], first: dict[int, int] | None =
         of = new
 
 
-def communities(edges: DataFrame, most: int = 2_000_000, first: dict[int, int] | None = None) -> DataFrame:
-    """(id, community) of an edge table (i, j, weight). The moves are sequential, so the edges come to the driver:
-    refused beyond ``most``, where a higher similarity threshold is needed."""
-    rows = edges.select("i", "j", "weight").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} edges")
-    of = louvain([(r["i"], r["j"], r["weight"]) for r in rows], first)
-    return edges.sparkSession.createDataFrame(sorted(of.items()), "id long, community long")
-
-
 def local_moves(weight: dict[int, dict[int, float]], total: float, of: dict[int, int]) -> dict[int, int]:
     """Moves nodes to the neighbouring community of most gain in modularity, until none gains."""
     of = dict(of)

@@ -271,16 +271,19 @@ class Touched:
 def listed_moves(jobs: Jobs, state: State) -> np.ndarray:
     """The same moves in the same order as held_moves(), for more units. Executors list the best communities of a batch of
     units by what holds at its begin; the driver moves one unit after the other. Communities changed since then are
-    weighed anew, and so are all of them if none of the list is left that beats what is not listed."""
+    weighed anew, and so are all of them if none of the list is left that beats what is not listed. Lists of all units
+    serve further passes while few communities have changed."""
     vectors, n = jobs.vectors, len(state.of)
-    moved, rate = True, 1.0
+    moved, rate, rows = True, 1.0, None
     while moved:
         moved, low = False, 0
         while low < n:
             wanted = state.bounds[low] + int(BATCH / max(rate, BATCH / vectors.n))
-            high = min(n, max(low + 1, int(np.searchsorted(state.bounds, wanted, "right")) - 1))
-            rows = jobs.run(state, low, high, packed_lists, "unit long, own double, least double, communities binary, links binary")
-            touched, moves = Touched(vectors, len(state.inside)), 0
+            high = n if rows else min(n, max(low + 1, int(np.searchsorted(state.bounds, wanted, "right")) - 1))
+            if rows is None:
+                rows = jobs.run(state, low, high, packed_lists, "unit long, own double, least double, communities binary, links binary")
+                touched = Touched(vectors, len(state.inside))
+            moves = 0
             for u, own_links, least, communities, found in rows:
                 nodes, own, share = state.nodes(u, u + 1), int(state.of[u]), state.degree[u] / state.total
                 communities, found = np.frombuffer(communities, np.int64), np.frombuffer(found, np.float64)
@@ -304,7 +307,9 @@ def listed_moves(jobs: Jobs, state: State) -> np.ndarray:
                     state.of[u] = state.label[nodes] = best
             moved |= moves > 0
             rate = max(moves / (high - low), rate / 4)
-            state.settle()
+            if high - low < n or touched.n > BATCH:
+                rows = None
+                state.settle()
             low = high
     return state.of
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trailmark import catalog
 from trailmark.functions import scalar
 from trailmark.operators import communities, graph, spatial, text, transit
+from trailmark.plans import prisms
 from trailmark.queries import places
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -142,6 +143,31 @@ def test_raster_fills_are_whole_and_search_equal_ends_once(spark):
     assert "hashpartitioning(n0" in plan and not any("missing" in line for line in plan.splitlines() if "hashpartitioning(n0" in line)
 
 
+def test_path_filled_minutes_look_back_only_and_share_tasks(spark):
+    start = pd.Timestamp("2024-01-01")
+    rng = np.random.default_rng(3)
+    cells = {k: [tuple(map(int, c)) if rng.random() < 0.4 else None for c in rng.integers(0, 90, (30, 2))] for k in range(4)} | {4: [None, (1, 2), None], 5: [(300, 300), None, None, (300, 300), None, (301, 303)]}
+    rows = [(k, (start + pd.Timedelta(minutes=m)).to_pydatetime(), *(c or (None, None))) for k, row in cells.items() for m, c in enumerate(row)]
+    known = spark.createDataFrame(rows, "id long, minute timestamp_ntz, n int, e int")
+    cost = {(n, e): 0.5 if (n + e) % 3 == 0 else 100.0 for n in range(95) for e in range(95)}
+    raster = spark.createDataFrame([(*c, v) for c, v in cost.items()], "n int, e int, cost double")
+    want = {}
+    for k, row in cells.items():
+        at = [m for m, c in enumerate(row) if c]
+        want |= {(k, m): row[m] for m in at}
+        for a, b in zip(at, at[1:], strict=False):
+            p, q = row[a], row[b]
+            limits = (min(p[0], q[0]) - 3, max(p[0], q[0]) + 3, min(p[1], q[1]) - 3, max(p[1], q[1]) + 3)
+            path = [p] if p == q else graph.raster_path(cost, p, q, limits) or [p, q]
+            if np.hypot(p[0] - q[0], p[1] - q[1]) * 50.0 <= graph.LONGEST_SEARCH:
+                want |= {(k, a + m): (round(n), round(e)) for m, (n, e) in enumerate(graph.along(path, b - a - 1)[1:-1], 1) if b - a > 1}
+    filled = prisms.filled_by_paths(known, raster, "id", "minute", 50.0, margin=3)
+    got = filled.collect()
+    assert len(got) == len(want) and {(r["id"], round((r["minute"] - start).total_seconds() / 60)): (r["n"], r["e"]) for r in got} == want
+    plan = filled._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "flatmapcogroupsinpandas" in plan
+
+
 class OneProcess:
     """communities.Jobs without executors."""
 

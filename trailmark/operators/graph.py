@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 MOVES = ((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1))
 #: Metres beyond which no path over a raster is sought.
 LONGEST_SEARCH = 5000.0
+#: Parts of the searches over the same tiles, for each of Spark's partitions.
+PARTS = 4
 
 
 def octile(a: tuple[int, int], b: tuple[int, int]) -> float:
@@ -82,41 +84,45 @@ def dijkstra(edges: dict[int, list[tuple[int, float]]], start: int, goal: int) -
     return math.inf, []
 
 
-def raster_fill(gaps: DataFrame, raster: DataFrame, size: float, margin: int = 20, longest: float = LONGEST_SEARCH) -> DataFrame:
-    """(gap_id, k, n, e): cells along a cheap path of each gap (gap_id, n0, e0, n1, e1, missing) with one for
-    every missing minute. Gaps of equal ends are searched once, whatever their length, each in its own clip of the
-    raster (n, e, cost), so no task holds all of it. Ends that are equal stay; ends too far apart are left out."""
+def raster_fill(gaps: DataFrame, raster: DataFrame, size: float, margin: int = 20, longest: float = LONGEST_SEARCH, keep: Sequence[str] = ("gap_id",)) -> DataFrame:
+    """(gap_id or what is to be kept of gaps, k, n, e): cells along a cheap path of each gap (gap_id, n0, e0, n1, e1,
+    missing) with one for every missing minute. Gaps of equal ends are searched once, whatever their length. Searches
+    that need the same tiles of the raster (n, e, cost) share tasks, which get these tiles once, so no task holds all
+    of it; each keeps to its own clip. Ends that are equal stay, and where the raster has no path it is the line between
+    the ends; ends too far apart are left out."""
+    ends = ["n0", "e0", "n1", "e1"]
     distance = F.sqrt(F.pow(F.col("n1") - F.col("n0"), 2) + F.pow(F.col("e1") - F.col("e0"), 2)) * size
-    once = gaps.where(distance <= longest).groupBy("n0", "e0", "n1", "e1").agg(F.min("gap_id").alias("search"))
+    once = gaps.where(distance <= longest).groupBy(*ends).agg(F.collect_set("missing").alias("lengths"))
     tile = 64
-    reach = lambda a, b, f: F.floor(f(a, b) / tile)
-    low = lambda a, b: F.least(a, b) - margin
-    high = lambda a, b: F.greatest(a, b) + margin
-    tiles = once.withColumn("tn", F.explode(F.sequence(reach("n0", "n1", low), reach("n0", "n1", high)))).withColumn("te", F.explode(F.sequence(reach("e0", "e1", low), reach("e0", "e1", high))))
+    low = lambda a, b: F.floor((F.least(a, b) - margin) / tile)
+    high = lambda a, b: F.floor((F.greatest(a, b) + margin) / tile)
+    tiles = {"tn0": low("n0", "n1"), "tn1": high("n0", "n1"), "te0": low("e0", "e1"), "te1": high("e0", "e1")}
+    partitions = PARTS * int(gaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [*tiles, "part"]
+    searches = once.withColumns(tiles).withColumn("part", F.pmod(F.xxhash64(*ends), F.lit(partitions)))
+    # under names of their own, as both sides of the groups come from the gaps
+    wanted = searches.select(*[F.col(c).alias(c) for c in key]).distinct().withColumn("tn", F.explode(F.sequence("tn0", "tn1"))).withColumn("te", F.explode(F.sequence("te0", "te1")))
     cells = raster.withColumn("tn", F.floor(F.col("n") / tile)).withColumn("te", F.floor(F.col("e") / tile))
-    clip = tiles.join(cells, ["tn", "te"]).where((F.col("n") >= low("n0", "n1")) & (F.col("n") <= high("n0", "n1")) & (F.col("e") >= low("e0", "e1")) & (F.col("e") <= high("e0", "e1")))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        # column by column: a row of a frame with costs is of doubles, which hold no 64-bit id
-        one, n0, e0, n1, e1 = (int(pdf[c].iloc[0]) for c in ("search", "n0", "e0", "n1", "e1"))
-        start, goal = (n0, e0), (n1, e1)
-        cost = dict(zip(zip(pdf["n"].tolist(), pdf["e"].tolist(), strict=True), pdf["cost"].tolist(), strict=True))
-        path = [start] if start == goal else raster_path(cost, start, goal) or [start, goal]
-        return pd.DataFrame({"search": [one], "pn": [[n for n, _ in path]], "pe": [[e for _, e in path]]})
-
-    def place(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for s, missing, pn, pe in zip(pdf["search"].tolist(), pdf["missing"].tolist(), pdf["pn"], pdf["pe"], strict=True):
-                cells = along(list(zip(pn, pe, strict=True)), missing)[1:-1][:missing]
-                rows.append((s, missing, [round(a) for a, _ in cells], [round(b) for _, b in cells]))
-            yield pd.DataFrame(rows, columns=["search", "missing", "ns", "es"])
-
-    found = clip.groupBy("search").applyInPandas(search, "search long, pn array<int>, pe array<int>")
-    named = gaps.join(once, ["n0", "e0", "n1", "e1"]).select("gap_id", "search", "missing")
-    placed = named.select("search", "missing").distinct().join(found, "search").mapInPandas(place, "search long, missing int, ns array<int>, es array<int>")
-    cells = F.posexplode(F.arrays_zip("ns", "es")).alias("k", "at")
-    return named.join(placed, ["search", "missing"]).select("gap_id", cells).select("gap_id", (F.col("k") + 1).alias("k"), F.col("at.ns").alias("n"), F.col("at.es").alias("e"))
+    # searches take long for their bytes, so their partitions are not to be merged
+    dealt = lambda df: df.repartition(partitions, *key).groupBy(*key)
+
+    def search(asked: pd.DataFrame, clip: pd.DataFrame) -> pd.DataFrame:
+        cost = dict(zip(zip(clip["n"].tolist(), clip["e"].tolist(), strict=True), clip["cost"].tolist(), strict=True))
+        rows = []
+        for n0, e0, n1, e1, lengths in zip(*(asked[c].tolist() for c in ends), asked["lengths"], strict=True):
+            start, goal = (n0, e0), (n1, e1)
+            limits = (min(n0, n1) - margin, max(n0, n1) + margin, min(e0, e1) - margin, max(e0, e1) + margin)
+            path = [start] if start == goal else raster_path(cost, start, goal, limits) or [start, goal]
+            for missing in lengths.tolist():
+                at = along(path, missing)[1:-1][:missing]
+                rows.append((n0, e0, n1, e1, missing, [round(a) for a, _ in at], [round(b) for _, b in at]))
+        return pd.DataFrame(rows, columns=[*ends, "missing", "ns", "es"])
+
+    placed = dealt(searches).cogroup(dealt(wanted.join(cells, ["tn", "te"]).select(*key, "n", "e", "cost"))).applyInPandas(
+        search, "n0 long, e0 long, n1 long, e1 long, missing int, ns array<int>, es array<int>"
+    )
+    at = F.posexplode(F.arrays_zip("ns", "es")).alias("k", "at")
+    return gaps.join(placed, ["missing", *ends]).select(*keep, at).select(*keep, (F.col("k") + 1).alias("k"), F.col("at.ns").alias("n"), F.col("at.es").alias("e"))
 
 
 def road_paths(trips: DataFrame, edges: Iterable[tuple[int, int, float]], places: dict[int, tuple[float, float]], n_col: str = "points") -> DataFrame:

@@ -97,6 +97,30 @@ def test_traits_do_not_shuffle_pairs(spark):
     assert plan.count("FlatMapGroupsInPandas") == 1 and "Exchange hash" not in plan[: plan.index("FlatMapGroupsInPandas")]
 
 
+@pytest.mark.parametrize("name", ["x08_cosine", "j21_similar_traits"])
+def test_documents_are_written_once_and_dealt_once(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    pairs = plan[plan.index("FlatMapGroupsInPandas") :].split("Union")[0].split("HashAggregate")[0]
+    assert pairs.count("Exchange") == 1 and "FileScan parquet [doc#" in pairs
+
+
+def test_pairs_come_in_runs_and_both_ways(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(text, "RUN", 5)
+    rows = [(d, t, float(x)) for d in range(24) for t, x in enumerate(rng.random(6) * (rng.random(6) < 0.5)) if x]
+    frame = pd.DataFrame(rows, columns=["doc", "term", "weight"])
+    of = {d: dict(zip(g["term"], g["weight"], strict=True)) for d, g in frame.groupby("doc")}
+    want = {(i, j): sum(x * of[j][t] for t, x in of[i].items() if t in of[j]) for i in of for j in of if i > j and set(of[i]) & set(of[j])}
+    halves = [frame[frame["doc"] % 2 == k] for k in (0, 1)]
+    blocks = lambda: (x for a, b in ((halves[0], halves[0]), (halves[1], halves[1]), (halves[0], halves[1])) for x in text.block_scores(a, b))
+    runs = list(text.all_scores(blocks()))
+    got = {(i, j): s for a, b, c in runs for i, j, s in zip(a, b, c, strict=True)}
+    assert len(got) == sum(len(a) for a, _, _ in runs) == len(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert all(min(len(set(a)), len(set(b))) <= 5 for a, b, _ in runs)
+    both = [(i, j) for a, b in text.both_ways(0.3, 9)(blocks()) for i, j in zip(a, b, strict=True)]
+    assert sorted(both) == sorted(x for (i, j), s in want.items() if s > 0.3 for x in ((i, j), (j, i)))
+
+
 def test_spans_by_brute_force_and_a_few_hits_at_a_time(spark, monkeypatch):
     rng = np.random.default_rng(5)
     person = [tuple(map(int, r)) for r in zip(rng.integers(0, 9, 300), rng.integers(0, 12, 300), rng.integers(0, 2, 300), rng.integers(0, 2, 300), strict=True)]
